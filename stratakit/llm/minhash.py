@@ -5,9 +5,10 @@ the second numbers the places, and coordinate k of the signature is the least nu
 circle by k. Bands of coordinates propose pairs; full shingle sets decide them.
 
 Documents with equal sets form a class, for which its smallest doc_id stands. In each bucket of a band the members
-are compared with one of them, the hub, not with each other; then, as long as a bucket holds members of different
-components, with more and more further hubs. Every pair of a bucket that isn't in one component yet is compared in
-the end, so that no link is lost, while a group of copies is joined after the first hub.
+are compared with one of them, the hub, not with each other. Where a bucket then still holds several components, the
+members outside its largest are looked at: most share too few shingles with all other candidates together to be
+linked with any; only the rest is compared with the bucket's members. Every link between members of a bucket is found
+that way, while a group of copies is joined after the first hub.
 """
 
 from __future__ import annotations
@@ -136,12 +137,12 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     oriented = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, path = C.written(oriented, "edges")
-    mark = None
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark or seen[0] == 0:
+        # stars: no node is both an end and a centre, and every end has one edge
+        ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        open_ = ends.join(now.select(F.col("v").alias("u"), F.lit(True).alias("centre")), "u", "left").where("n > 1 or centre")
+        if not open_.take(1):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = seen
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -153,6 +154,29 @@ def components(edges: DataFrame) -> DataFrame:
         C.remove(spark, old)
 
 
+def supported(pool: DataFrame, asked: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, shared: for each document of ``asked`` (doc_id) how many of its shingles another of ``pool`` (doc_id) has."""
+
+    def shingles(batches):
+        hashes = _Hashes()
+        for batch in batches:
+            sets = [shingle_set(t, width, hashes) for t in batch.column("text").to_pylist()]
+            ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), dtype=np.int64), [len(x) for x in sets])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat)], names=["doc_id", "shingle"])
+
+    def counts(batches):
+        hashes = _Hashes()
+        for batch in batches:
+            sets = [shingle_set(t, width, hashes) for t in batch.column("text").to_pylist()]
+            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    common = texts.join(pool, "doc_id", "left_semi").mapInArrow(counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").select("shingle")
+    mine = texts.join(asked, "doc_id", "left_semi").mapInArrow(shingles, "doc_id long, shingle long")
+    return mine.join(common, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
     """docs: doc_id, text. A row for each: doc_id, n_shingles, component_id, kept.
 
@@ -167,9 +191,10 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32,
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes, classes_path = C.written(classes, "classes")
     copies = known.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    sets = known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    hubs = sets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("hub.rep < last").select("key", "hub")
-    members, members_path = C.written(sets.join(hubs, "key").where("rep <> hub.rep"), "members")
+    sets, sets_path = C.written(known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "keys"), "sets")
+    buckets = sets.select("rep", "n", F.explode("keys").alias("key"))
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("hub.rep < last").select("key", "hub")
+    members, members_path = C.written(buckets.join(hubs, "key").where("rep <> hub.rep"), "members")
 
     def near(n, m):
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
@@ -185,27 +210,30 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32,
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         return verify(pairs, texts.join(wanted, "doc_id", "left_semi"), width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    stars = components(copies.union(decided(tried)))
-    rest, rest_path = members.select("key", "rep", "n"), members_path
-    each = 1
-    while True:
-        labelled = rest.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        open_, open_path = C.written(labelled.join(mixed, "key", "left_semi"), "open")
-        C.remove(spark, rest_path)
-        if not open_.take(1):
-            break
-        hubs = open_.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(each)).alias("slot")).agg(F.min(F.struct("rep", "n", "c")).alias("hub")).select("key", "hub")
-        far = open_.join(hubs, "key").where((F.col("c") != F.col("hub.c")) & near(F.col("n"), F.col("hub.n")))
-        new = far.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new, new_path = C.written(new, "pairs")
-        stars = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(decided(new)))
-        tried, old = C.written(tried.union(new), "pairs"), (tried_path, new_path)
-        tried, tried_path = tried
-        rest, rest_path = C.written(open_.join(hubs.select("key", F.col("hub.rep").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n"), "rest")
-        C.remove(spark, open_path, *old)
-        each *= 8
-    C.remove(spark, open_path, tried_path, classes_path)
+    links, links_path = C.written(copies.union(decided(tried)), "links")
+    stars = components(links)
+
+    # what the hubs leave open: buckets with members of several components
+    labelled = members.select("key", "rep", "n").join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    parts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "most", "least")
+    open_, open_path = C.written(labelled.join(mixed, "key"), "open")
+    # of two members of different components one at least isn't in its bucket's largest: only these ask. One that shares
+    # fewer shingles with all others together than a link with the smallest partner takes has no link
+    askers = open_.where("c <> most").groupBy(F.col("rep").alias("doc_id")).agg(F.first("n").alias("n"), F.min("least").alias("least"))
+    shared = supported(open_.select(F.col("rep").alias("doc_id")).distinct(), askers, texts, width)
+    needed = (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
+    judged, judged_path = C.written(askers.join(shared, "doc_id", "left").select(F.col("doc_id").alias("rep"), (F.coalesce("shared", F.lit(0)) * (100 + percent) >= needed).alias("able")), "judged")
+    left = open_.join(judged.where("not able").select("rep"), "rep", "left_anti").join(sets.select("rep", "keys").distinct(), "rep")
+    x = left.where("c <> most").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("keys").alias("ka"))
+    y = left.select(F.col("key").alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("keys").alias("kb"), (F.col("c") == F.col("most")).alias("still"))
+    # a pair of several buckets is taken from the first
+    once = (F.col("ca") != F.col("cb")) & (F.col("still") | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb")) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
+    pairs = x.join(y, (F.col("key") == F.col("at")) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs, pairs_path = C.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if pairs.take(1):
+        stars = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(decided(pairs)))
+    C.remove(spark, open_path, judged_path, pairs_path, tried_path, classes_path, members_path, sets_path, links_path)
     found = signed.select("doc_id", "n_shingles").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
