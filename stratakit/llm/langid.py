@@ -23,50 +23,55 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
+@dataclass
+class Table:
+    """Keys with one row of log frequencies, a language a column."""
+
+    index: dict[str, int]
+    rows: np.ndarray
+
+
 @dataclass
 class LanguageModel:
-    """langs: sorted; words, grams: key to one log-frequency row a language."""
+    """langs: sorted; grams: a table for each of ``orders``, the longest first."""
 
-    langs: list[str] = field(default_factory=list)
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)  # by order, longest first
+    langs: list[str]
+    words: Table | None = None
+    grams: list[Table] = field(default_factory=list)
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
 
     def score_word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
+        if (at := self.words.index.get(word)) is not None:
+            return self.words.rows[at]
         padded = f"^{word[:400]}$"
         for order, table in zip(self.orders, self.grams, strict=True):
-            found = [table[g] for i in range(len(padded) - order + 1) if (g := padded[i : i + order]) in table]
+            found = [at for i in range(len(padded) - order + 1) if (at := table.index.get(padded[i : i + order])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return table.rows[found].mean(axis=0)
         return np.zeros(len(self.langs), dtype=np.float32)
 
 
-def _log_rows(counts: Counter, langs: list[str], least: int, most: int) -> dict[str, np.ndarray]:
-    """counts: (lang, key) to n. Add-half smoothed log frequencies of the keys with ``least`` or more, the commonest ``most``."""
-    totals, keys = np.zeros(len(langs)), Counter()
-    at = {lang: i for i, lang in enumerate(langs)}
-    for (lang, key), n in counts.items():
-        totals[at[lang]] += n
-        keys[key] += n
-    kept = sorted((k for k, n in keys.items() if n >= least), key=lambda k: (-keys[k], k))[:most]
-    rows = np.full((len(kept), len(langs)), 0.5)
-    index = {k: i for i, k in enumerate(kept)}
-    for (lang, key), n in counts.items():
-        if key in index:
-            rows[index[key], at[lang]] += n
-    rows = np.log(rows / (totals + 0.5 * max(1, len(keys)))).astype(np.float32)
-    return dict(zip(kept, rows, strict=True))
-
-
-def train(docs: DataFrame, max_docs: int = 8000, least: int = 3, max_words: int = 100_000, max_grams: int = 50_000) -> LanguageModel:
+def _table(counts: DataFrame, totals: dict[str, float], distinct: int, langs: list[str], least: int, most: int) -> Table:
+    """counts: key, lang, n. Add-half smoothed log frequencies of the keys with ``least`` or more, the commonest ``most``."""
+    kept = counts.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") >= least).orderBy(F.desc("all"), "key").limit(most).select("key")
+    pulled = counts.join(kept, "key").toArrow()
+    index: dict[str, int] = {}
+    at = np.array([index.setdefault(k, len(index)) for k in pulled.column("key").to_pylist()], dtype=np.int64)
+    column = {lang: i for i, lang in enumerate(langs)}
+    rows = np.full((len(index), len(langs)), 0.5)
+    rows[at, [column[x] for x in pulled.column("lang").to_pylist()]] += pulled.column("n").to_numpy()
+    all_ = np.array([totals.get(lang, 0.0) for lang in langs]) + 0.5 * max(1, distinct)
+    return Table(index, np.log(rows / all_).astype(np.float32))
+
+
+def train(docs: DataFrame, max_docs: int = 4000, least: int = 3, max_words: int = 50_000, max_grams: int = 20_000) -> LanguageModel:
     """Learns from text and non-null lang of ``docs``.
 
     The classifier is fitted on at most about ``max_docs`` labelled documents, chosen by a hash of text and
     label; ``max_words`` and ``max_grams`` (for each order) bound what is broadcast. No labelled row: no languages.
     """
-    C.batches(docs.sparkSession)
+    spark = docs.sparkSession
+    C.batches(spark)
     labelled = C.pick(docs, text="string", lang="string").where("text is not null and lang is not null")
     sample = C.hashed_share(labelled, max_docs, "text", "lang")
 
@@ -76,19 +81,30 @@ def train(docs: DataFrame, max_docs: int = 8000, least: int = 3, max_words: int
             for lang, text in zip(frame.lang, frame.text, strict=True):
                 for word, n in Counter(LETTERS.findall(text.lower())).items():
                     seen[lang, word[:400]] += n
-            yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["lang", "word", "n"])
-
-    counted = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = Counter({(r.lang, r.word): r.n for r in counted.toPandas().itertuples()})
-    model = LanguageModel(langs=sorted({lang for lang, _ in words}))
-    for order in model.orders:
-        grams: Counter = Counter()
-        for (lang, word), n in words.items():
-            padded = f"^{word}$"
-            for i in range(len(padded) - order + 1):
-                grams[lang, padded[i : i + order]] += n
-        model.grams.append(_log_rows(grams, model.langs, least, max_grams))
-    model.words = _log_rows(words, model.langs, least, max_words)
+            yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["lang", "key", "n"])
+
+    words, words_path = C.written(sample.mapInPandas(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+    model = LanguageModel([])
+    padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
+    orders = F.array(*map(F.lit, model.orders))
+    grams = F.flatten(F.transform(orders, lambda o: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - o + 1)), lambda i: F.struct(o.alias("order"), F.substr(padded, i, o).alias("gram")))))
+    exploded = words.select("lang", "n", F.explode(grams).alias("g")).where(F.length("g.gram") == F.col("g.order"))
+    counted, grams_path = C.written(exploded.groupBy(F.col("g.order").alias("order"), F.col("g.gram").alias("key"), "lang").agg(F.sum("n").alias("n")), "grams")
+
+    def sizes(df):
+        return df.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect(), {r.order: r.d for r in df.groupBy("order").agg(F.count_distinct("key").alias("d")).collect()}
+
+    tagged = words.withColumn("order", F.lit(0))
+    totals, distinct = sizes(tagged.select("order", "key", "lang", "n").union(counted.select("order", "key", "lang", "n")))
+    model.langs = sorted({r.lang for r in totals})
+    for order in (0, *model.orders):
+        table = (words if not order else counted.where(F.col("order") == order)).select("key", "lang", "n")
+        made = _table(table, {r.lang: r.n for r in totals if r.order == order}, distinct.get(order, 1), model.langs, least, max_grams if order else max_words)
+        if order:
+            model.grams.append(made)
+        else:
+            model.words = made
+    C.remove(spark, words_path, grams_path)
     return model
 
 
