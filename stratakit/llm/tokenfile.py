@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
-from .tokens import ODD, PIECE
+from .tokens import ODD, PIECE, byte_symbols
 
 MAGIC, BLOCK = 0x31524F4650, 256
 SHARD_VALUES = 8_000_000
@@ -55,17 +55,13 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(len(words), BLOCK).astype(np.uint32)
 
 
-def encode_shard(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray, percentile: float = 95) -> bytes:
-    """ids: of all documents, one after the other (uint32); sizes: how many each has."""
-    n, blocks = len(ids), -(-len(ids) // BLOCK)
-    full = np.full(blocks * BLOCK, ids[-1] if n else 0, dtype=np.uint32)
-    full[:n] = ids
-    rows = full.reshape(blocks, BLOCK)
-    low = rows.min(axis=1) if blocks else np.zeros(0, dtype=np.uint32)
+def _encode_blocks(rows: np.ndarray, percentile: float):
+    """rows: (n, 256). Minimum, width, packed words, exceptions a block, their places and values."""
+    low = rows.min(axis=1)
     rest = rows - low[:, None]
     at = min(BLOCK - 1, int(BLOCK * percentile / 100))
-    width = np.ceil(np.log2(np.partition(rest, at, axis=1)[:, at].astype(np.float64) + 1)).astype(np.uint8) if blocks else np.zeros(0, dtype=np.uint8)
-    over = rest.astype(np.uint64) >> width[:, None].astype(np.uint64) != 0
+    width = np.ceil(np.log2(np.partition(rest, at, axis=1)[:, at].astype(np.float64) + 1)).astype(np.uint8)
+    over = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     block, place = np.nonzero(over)
     values = rest[over]
     rest[over] = 0
@@ -75,11 +71,24 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray,
         mine = np.flatnonzero(width == w)
         if w:
             packed[(first[mine][:, None] + np.arange(4 * int(w))).ravel()] = _pack(rest[mine], int(w)).ravel()
-    exceptions = np.searchsorted(block, np.arange(blocks))
+    return low, width, packed, np.bincount(block, minlength=len(rows)), place.astype(np.uint8), values
+
+
+def encode_shard(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray, percentile: float = 95) -> bytes:
+    """ids: of all documents, one after the other (uint32); sizes: how many each has."""
+    n, blocks = len(ids), -(-len(ids) // BLOCK)
+    parts = []
+    for i in range(0, blocks, 2048):
+        some = ids[i * BLOCK : (i + 2048) * BLOCK]
+        if len(some) % BLOCK:
+            some = np.r_[some, np.full(-len(some) % BLOCK, some[-1], dtype=np.uint32)]
+        parts.append(_encode_blocks(some.astype(np.uint32).reshape(-1, BLOCK), percentile))
+    low, width, packed, many, place, values = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.uint8),) * 6
+    first, exceptions = np.r_[0, np.cumsum(4 * width.astype(np.int64))], np.r_[0, np.cumsum(many)]
     head = np.array([MAGIC, BLOCK, len(doc_ids), n, blocks, len(packed), len(values)], dtype="<u8")
     null = np.array([d is None for d in doc_ids], dtype=np.uint8)
-    parts = [head, np.array([d or 0 for d in doc_ids], dtype="<i8"), null, np.asarray(sizes, dtype="<u8"), low.astype("<u4"), width, first[:-1].astype("<u8"), exceptions.astype("<u8"), packed.astype("<u8"), place.astype(np.uint8), values.astype("<u4")]
-    return b"".join(p.tobytes() for p in parts)
+    sections = [head, np.array([d or 0 for d in doc_ids], dtype="<i8"), null, np.asarray(sizes, dtype="<u8"), low.astype("<u4"), width.astype(np.uint8), first[:-1].astype("<u8"), exceptions[:-1].astype("<u8"), packed.astype("<u8"), place.astype(np.uint8), values.astype("<u4")]
+    return b"".join(x.tobytes() for x in sections)
 
 
 def decode_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -123,25 +132,55 @@ def put(path: str, data: bytes) -> None:
 
 
 class Encoder:
-    """Ids by the tokenizers library. Pieces between which no token reaches are encoded once and remembered."""
+    """Ids by the tokenizers library. Pieces between which no token reaches are encoded once and remembered.
+
+    New pieces go to the library in one string: those that don't begin with white space after a line break of their
+    own, those that end in white space (the ends of texts) by themselves.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        byte_of = {s: b for b, s in byte_symbols().items()}
+        vocabulary = self.library.get_vocab()
+        # of each token how many bytes of text it stands for; 0 for special ones
+        self.bytes = np.zeros(1 + max(vocabulary.values()), dtype=np.int64)
+        for token, i in vocabulary.items():
+            if all(c in byte_of for c in token):
+                self.bytes[i] = len(token)
+        self.bytes[[vocabulary[s] for s in self.specials]] = 0
+        self.line = self._alone(["\n"])[0]
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode(self, pieces: list[str], whole: set[str]) -> list[bytes]:
+        apart = [p for p in pieces if p[-1].isspace() or p in whole]
+        out = dict(zip(apart, self._alone(apart), strict=True)) if apart else {}
+        rest = [p for p in pieces if p not in out]
+        if rest:
+            joined = ["\n" + p if not p[0].isspace() else p for p in rest]
+            sizes = np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined))
+            ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
+            raw, skip, at = ids.tobytes(), len(self.line), 0
+            for p, q, end in zip(rest, joined, (4 * ends).tolist(), strict=True):
+                out[p] = raw[at + skip if len(q) > len(p) else at : end]
+                at = end
+        return [out[p] for p in pieces]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [[t] if ODD.search(t) or any(s in t for s in self.specials) else PIECE.findall(t) for t in texts]
+        whole = {t for t in texts if ODD.search(t) or any(s in t for s in self.specials)}
+        cut = [[t] if t in whole else PIECE.findall(t) for t in texts]
         known = self.known
-        new = list({p for c in cut for p in c if p not in known})
-        known.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        new = [p for p in set().union(*cut).difference(known) if p]
+        for i in range(0, len(new), 20_000):
+            known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000], whole), strict=True))
+        out = [b"".join(map(known.__getitem__, c)) if c != [""] else b"" for c in cut]
         full = len(known) > self.most
         for p in new:
             if full or len(p) > 60:

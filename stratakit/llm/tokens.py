@@ -132,7 +132,7 @@ class Counter:
     def __call__(self, texts: list[str]) -> list[int]:
         cut = [self.pieces(t) for t in texts]
         known = self.known
-        new = list({p for c, _ in cut for p in c if p not in known})
+        new = list(set().union(*(c for c, _ in cut)).difference(known))
         for i in range(0, len(new), 50_000):
             known.update(zip(new[i : i + 50_000], self.merger.count_pieces(new[i : i + 50_000]), strict=True))
         out = [sum(map(known.__getitem__, c)) + s for c, s in cut]
