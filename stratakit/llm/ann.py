@@ -136,7 +136,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     if size is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == size.d)
-    tree = KMeansTree.fit(_matrix(C.hashed_share(rows, max_sample, "vec_id").select("v").toArrow().column("v")), branch, leaf_size)
+    sample = C.hashed_share(rows, max_sample, "vec_id").select("vec_id", "v").toArrow()
+    sample_ids, sampled = sample.column("vec_id").to_numpy(), _matrix(sample.column("v"))
+    tree = KMeansTree.fit(sampled, branch, leaf_size)
     shipped = spark.sparkContext.broadcast(tree)
 
     def file(batches):
@@ -174,9 +176,17 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     counts = dict(index.groupBy("leaf").count().toPandas().itertuples(index=False, name=None))  # a row a leaf: bounded by the sample
     blocks = spark.sparkContext.broadcast({leaf: -(-n // block) for leaf, n in counts.items()})
 
+    # the k-th distance to the sample's rows bounds that to all rows: what lies beyond isn't passed on
+    near_rows = spark.sparkContext.broadcast((sample_ids, sampled))
+
     def open_(batches):
         for batch in batches:
             ids, q = batch.column("vec_id").to_numpy(), _matrix(batch.column("v")) if len(batch) else np.zeros((0, 1))
+            bound = np.full(len(ids), np.inf)
+            row, _, d = nearest(near_rows.value[0], near_rows.value[1], ids, q, k)
+            full = np.bincount(row, minlength=len(ids)) >= k
+            np.maximum.at(worst := np.zeros(len(ids)), row, d)
+            bound[full] = worst[full]
             leaf, blk, who = [], [], []
             for i, v in enumerate(q):
                 for x in shipped.value.visits(v, most):
@@ -184,9 +194,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
                         leaf.append(x)
                         blk.append(b)
                         who.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(blk, pa.int32()), pa.array(ids[who] if who else [], pa.int64()), batch.column("v").take(pa.array(who, pa.int64()))], names=["leaf", "blk", "query_id", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(blk, pa.int32()), pa.array(ids[who] if who else [], pa.int64()), batch.column("v").take(pa.array(who, pa.int64())), pa.array(bound[who] if who else [], pa.float64())], names=["leaf", "blk", "query_id", "q", "bound"])
 
-    visits = queries.mapInArrow(open_, "leaf int, blk int, query_id long, q array<double>")
+    visits = queries.mapInArrow(open_, "leaf int, blk int, query_id long, q array<double>, bound double")
     n = F.create_map(*(F.lit(int(x)) for p in {leaf: b for leaf, b in blocks.value.items() if b > 1}.items() for x in p)) if any(b > 1 for b in blocks.value.values()) else F.lit(None).cast("map<int,int>")
     filed = index.withColumn("blk", F.pmod(F.xxhash64("vec_id", "v"), F.coalesce(F.try_element_at(n, F.col("leaf")), F.lit(1)).cast("long")).cast("int"))
 
@@ -195,6 +205,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, qids = points.vec_id.to_numpy(), asking.query_id.to_numpy()
         row, col, d = nearest(ids, np.stack(points.v.to_numpy()), qids, np.stack(asking.q.to_numpy()), k)
+        row, col, d = (x[d <= asking.bound.to_numpy()[row]] for x in (row, col, d))
         return pd.DataFrame({"query_id": qids[row], "vec_id": ids[col], "score": d})
 
     near = filed.groupBy("leaf", "blk").cogroup(visits.groupBy("leaf", "blk")).applyInPandas(within, "query_id long, vec_id long, score double")
