@@ -47,9 +47,11 @@ def without_tags(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
-def strip_tags(values: pd.Series) -> pd.Series:
-    return values.map(without_tags, na_action="ignore")
+def strip_tags(value: Column) -> Column:
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(without_tags, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(value)
 
 
 def strip_tags_native(value: Column) -> Column:

@@ -140,10 +140,14 @@ class Regression:
 
         return g
 
-    def fit(self, df: DataFrame, features: list[str], y: str, iterations: int = 100) -> Regression:
-        """features: number columns; rows with a null or NaN in them or in y are left out."""
-        self.features, self.y = list(features), y
-        d = len(features)
+    def fit(self, df: DataFrame, features: list[str] | str, y: str, iterations: int = 100) -> Regression:
+        """features: number columns, or one array column; rows with a null or NaN in them or in y are left out."""
+        self.features, self.y = features if isinstance(features, str) else list(features), y
+        whole = isinstance(features, str)
+        d = df.select(F.size(features)).first()[0] if whole else len(features)
+        if whole and self.task == "regression":
+            df = df.withColumns({f"__x{i}": F.col(features)[i] for i in range(d)})
+            features = [f"__x{i}" for i in range(d)]
         if self.task == "regression":
             g = moments.gram(df, [*features, y])
             cov, mean, self.n = g.covariance(), g.mean, int(g.n)
@@ -157,18 +161,22 @@ class Regression:
             q = z[d, d]
             f = self._penalised(lambda w: (float((q - 2 * (w.T @ c) + w.T @ G @ w).item()) / 2, G @ w - c))
             self.weights, self.losses = scaled_conjugate_gradient(f, self.init_weights(d, 1), iterations)
+            if not self.use_elastic_reg:
+                # losses that differ by rounding only stop the search; a Newton step gives the last digits
+                self.weights = self.weights - np.linalg.lstsq(G, f(self.weights)[1], rcond=None)[0]
             rss = float((q - 2 * (self.weights.T @ c) + self.weights.T @ G @ self.weights).item())
             self.r_square = 1 - rss / q if q > 0 else 0.0
             self.adjusted_r_square = 1 - (1 - self.r_square) * (self.n - 1) / max(1, self.n - d - 1)
             return self
-        g = moments.gram(df, features)
+        g = moments.vector_gram(df, features, d) if whole else moments.gram(df, features)
         self.n, self.mean = int(g.n), g.mean
         std = np.sqrt(np.maximum(np.diag(g.covariance()), 0))
         self.std = np.where(std > 0, std, 1.0)
         array = df.schema[y].dataType.simpleString().startswith("array")
         target = F.transform(y, lambda x: x.cast("double")) if array else F.array(F.col(y).cast("double"))
-        rows = df.select(F.array(*(moments.clean(F.col(f"`{c}`")) for c in features)).alias("x"), target.alias("y"))
-        rows = rows.where(F.forall("x", lambda v: v.isNotNull()) & F.col(f"y").isNotNull() & F.forall("y", lambda v: v.isNotNull()))
+        x = F.col(features).cast("array<double>") if whole else F.array(*(moments.clean(F.col(f"`{c}`")) for c in features))
+        rows = df.select(x.alias("x"), target.alias("y"))
+        rows = rows.where(F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull()) & F.col("y").isNotNull() & F.forall("y", lambda v: v.isNotNull()))
         k = rows.select(F.size("y")).first()[0]
         task, mean, std = self.task, self.mean, self.std
 
@@ -205,6 +213,10 @@ class Regression:
 
     def logits(self) -> list[Column]:
         """Of each output, for standardised inputs (and output, in regression)."""
+        if isinstance(self.features, str):
+            d = len(self.weights) - 1
+            z = F.zip_with(F.zip_with(F.col(self.features).cast("array<double>"), F.array(*map(F.lit, self.mean[:d].tolist())), lambda a, b: a - b), F.array(*map(F.lit, self.std[:d].tolist())), lambda a, b: a / b)
+            return [vec.dot(z, F.array(*map(F.lit, col[1:].tolist()))) + float(col[0]) for col in self.weights.T]
         x = [(moments.clean(F.col(f"`{c}`")) - float(m)) / float(s) for c, m, s in zip(self.features, self.mean, self.std, strict=False)]
         out = []
         for col in self.weights.T:
@@ -218,7 +230,7 @@ class Regression:
         """df with the prediction: a number for regression, an array of probabilities otherwise. A projection."""
         z = self.logits()
         if self.task == "regression":
-            d = len(self.features)
+            d = len(self.weights) - 1
             return df.withColumn(output, z[0] * float(self.std[d]) + float(self.mean[d]))
         return df.withColumn(output, activ.softmax(F.array(*z)) if self.task == "multinomial" else F.array(*(activ.sigmoid(c) for c in z)))
 

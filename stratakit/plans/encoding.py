@@ -181,9 +181,10 @@ def delta_days(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", r(e.encode()[0]).alias("l_shipdate"))
 
 
-@query("SELECT event_id, ts + to_hours((user_id % 5)::INT) AS shifted FROM events")
+@query("SELECT event_id, strftime(ts + to_hours((user_id % 5)::INT), '%Y-%m-%d %H:%M:%S') AS shifted FROM events")
 def localize(spark, sf_dir):
-    return t(spark, sf_dir, "events").select("event_id", chrono.localize_timestamp(F.col("ts").cast("timestamp_ntz"), (F.col("user_id") % 5).cast("int")).alias("shifted"))
+    shifted = chrono.localize_timestamp(F.col("ts").cast("timestamp_ntz"), (F.col("user_id") % 5).cast("int"))
+    return t(spark, sf_dir, "events").select("event_id", F.date_format(shifted, "yyyy-MM-dd HH:mm:ss").alias("shifted"))
 
 
 @query("SELECT item_id, sha256(text) AS hash FROM benchmark")
@@ -193,7 +194,7 @@ def sha256_col(spark, sf_dir):
 
 @query()
 def strip_tags(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", text.strip_tags("html").alias("text"))
+    return t(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS n FROM pages")
@@ -209,9 +210,9 @@ def null_mask(spark, sf_dir):
     return df.select("event_id", *(c.alias(n) for n, c in zip(mask.columns, [F.col("event_type").isNull(), F.col("value").isNull() | F.isnan("value")], strict=True)))
 
 
-@query(f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, event_type, count(value)::BIGINT AS n, {R('avg(value)', 5)} AS mean, {R('stddev_pop(value)', 5)} AS std FROM events GROUP BY 1, 2, 3")
+@query(f"SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS window_start, strftime(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY, '%Y-%m-%d') AS window_end, event_type, count(value)::BIGINT AS n, {R('avg(value)', 5)} AS mean, {R('stddev_pop(value)', 5)} AS std FROM events GROUP BY 1, 2, 3")
 def windowed_moments(spark, sf_dir):
     from ..streaming.incremental import windowed_moments as windowed
 
     out = windowed(t(spark, sf_dir, "events"), "ts", "value", "1 day", by=["event_type"])
-    return out.select("window_start", "window_end", "event_type", "n", r(F.col("mean"), 5).alias("mean"), r(F.col("std"), 5).alias("std"))
+    return out.select(*(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("window_start", "window_end")), "event_type", "n", r(F.col("mean"), 5).alias("mean"), r(F.col("std"), 5).alias("std"))

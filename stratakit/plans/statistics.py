@@ -11,15 +11,15 @@ from ._base import R, query, r, t
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def vector(spark, **columns):
+def vector(spark, digits=5, **columns):
     """A table of name and value."""
-    return spark.createDataFrame([(k, float(v)) for k, v in columns.items()], "name string, value double").select("name", r(F.col("value"), 5).alias("value"))
+    return spark.createDataFrame([(k, float(v)) for k, v in columns.items()], "name string, value double").select("name", r(F.col("value"), digits).alias("value"))
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}|{b}' AS name, {R(f'covar_pop({a}, {b})', 5)} AS value FROM lineitem" for i, a in enumerate(NUMBERS) for b in NUMBERS[i:]) + ")")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}|{b}' AS name, {R(f'covar_pop({a}, {b})', 2)} AS value FROM lineitem" for i, a in enumerate(NUMBERS) for b in NUMBERS[i:]) + ")")
 def gram_covariance(spark, sf_dir):
     c = moments.gram(t(spark, sf_dir, "lineitem"), NUMBERS).covariance()
-    return vector(spark, **{f"{a}|{b}": c[i, j + i] for i, a in enumerate(NUMBERS) for j, b in enumerate(NUMBERS[i:])})
+    return vector(spark, 2, **{f"{a}|{b}": c[i, j + i] for i, a in enumerate(NUMBERS) for j, b in enumerate(NUMBERS[i:])})
 
 
 @query(f"""
@@ -72,10 +72,10 @@ def scg_regression(spark, sf_dir):
     return m.predict(df).select("l_orderkey", "l_linenumber", r(F.col("prediction"), 2).alias("prediction"))
 
 
-@query("SELECT regr_r2(l_extendedprice, l_quantity)::DECIMAL(18,6)::DOUBLE AS r_square FROM lineitem")
+@query("SELECT " + R("regr_r2(l_extendedprice, l_quantity)") + " AS r_square FROM lineitem")
 def r_square(spark, sf_dir):
     m = regression.Regression().fit(t(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return spark.createDataFrame([(m.r_square,)], "x double").select(r(F.col("x")).alias("r_square"))
+    return spark.createDataFrame([(float(m.r_square),)], "x double").select(r(F.col("x")).alias("r_square"))
 
 
 @query()
@@ -86,8 +86,8 @@ def scg_binary(spark, sf_dir):
 
 @query()
 def scg_multinomial(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)), regression.onehot_target("label", 10).alias("y"))
-    return regression.Regression("multinomial").fit_predict(e, [f"x{i}" for i in range(64)], "y", iterations=30).select("vec_id", "prediction")
+    e = t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), regression.onehot_target("label", 10).alias("y"))
+    return regression.Regression("multinomial").fit_predict(e, "x", "y", iterations=30).select("vec_id", "prediction")
 
 
 @query()

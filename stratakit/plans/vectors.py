@@ -27,16 +27,16 @@ def _distance(name: str, column, sql: str):
     return query(f"WITH {NEXT} SELECT vec_id, {R(sql)} AS d FROM p")(run)
 
 
-SUM = "list_sum(list_transform(range(1, len(a) + 1), i -> {}))"
-VAR = "(list_sum(list_transform({0}, x -> x * x)) / len({0}) - pow(list_sum({0}) / len({0}), 2))"
-MINUS = "list_transform(range(1, len(a) + 1), i -> a[i] - b[i])"
+SUM = "list_sum(list_transform(range(1, len(a) + 1), lambda i: {}))"
+VAR = "(list_sum(list_transform({0}, lambda x: x * x)) / len({0}) - pow(list_sum({0}) / len({0}), 2))"
+MINUS = "list_transform(range(1, len(a) + 1), lambda i: a[i] - b[i])"
 _distance("dist_euclidean", vec.euclidean_distance, f"sqrt({SUM.format('pow(a[i] - b[i], 2)')})")
 _distance("dist_manhattan", vec.manhattan_distance, SUM.format("abs(a[i] - b[i])"))
 _distance("dist_cosine", vec.cosine_distance, "1 - list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 1e-15)")
 _distance("dist_hamming", lambda a, b: vec.hamming_distance(F.transform(a, lambda x: F.signum(x)), F.transform(b, lambda x: F.signum(x))).cast("double"), SUM.format("(sign(a[i]) <> sign(b[i]))::INT"))
 _distance("dist_variance_ratio", vec.variance_ratio, f"0.5 * {VAR.format('a')} / ({VAR.format('a')} + {VAR.format('b')})")
 _distance("dist_normalized_euclidean", vec.normalized_euclidean_distance, f"0.5 * {VAR.format(MINUS)} / ({VAR.format('a')} + {VAR.format('b')})")
-_distance("dist_elementwise", lambda a, b: F.array_max(vec.manhattan_distance(a, b, summed=False)), "list_max(list_transform(range(1, len(a) + 1), i -> abs(a[i] - b[i])))")
+_distance("dist_elementwise", lambda a, b: F.array_max(vec.manhattan_distance(a, b, summed=False)), "list_max(list_transform(range(1, len(a) + 1), lambda i: abs(a[i] - b[i])))")
 _distance("sim_jaccard", lambda a, b: vec.jaccard_similarity(F.transform(a, lambda x: (x > 0).cast("int")), F.transform(b, lambda x: (x > 0).cast("int"))), f"{SUM.format('(a[i] > 0 AND b[i] > 0)::INT')} / {SUM.format('(a[i] > 0 OR b[i] > 0)::INT')}::DOUBLE")
 
 
@@ -87,8 +87,8 @@ def activation_derivatives(spark, sf_dir):
 
 
 @query(f"""
-WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], x -> exp(x - list_max(embedding::DOUBLE[]))) AS e FROM embeddings),
-s AS (SELECT vec_id, list_transform(e, x -> x / list_sum(e)) AS p FROM v)
+WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: exp(x - list_max(embedding::DOUBLE[]))) AS e FROM embeddings),
+s AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM v)
 SELECT vec_id, {R('p[1]', 8)} AS first, {R('list_max(p)', 8)} AS largest, (list_position(p, list_max(p)) - 1)::INTEGER AS best, {R('p[1] * (1 - p[1])', 8)} AS slope, {R('-p[1] * p[2]', 8)} AS cross_slope FROM s
 """)
 def softmax(spark, sf_dir):

@@ -115,7 +115,10 @@ def phase_mix(spark: SparkSession, n: int = 128, length: int = 128, f1: float =
         return _vector(length, lambda i: a * F.sin(2 * math.pi * f1 * i / length + p1) + b * F.sin(2 * math.pi * f2 * i / length + p2))
 
     df = spark.range(n).withColumn("x", wave(1.0, 1.0)).withColumn("y", wave(0.5, 1.5))
-    return df.select("id", *(F.transform(c, lambda v, c=c: v - vec.mean(F.col(c))).alias(c) for c in ("x", "y")))
+    def centred(c: str) -> Column:
+        return F.transform(c, lambda v: v - vec.mean(F.col(c))).alias(c)
+
+    return df.select("id", centred("x"), centred("y"))
 
 
 def multifreq(spark: SparkSession, batch: int = 16, seq: int = 64, hidden: int = 8, noise: float = 0.1, seed: int = 42) -> DataFrame:
