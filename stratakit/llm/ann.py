@@ -208,7 +208,15 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
         row, col, d = (x[d <= asking.bound.to_numpy()[row]] for x in (row, col, d))
         return pd.DataFrame({"query_id": qids[row], "vec_id": ids[col], "score": d})
 
+    def seeds(batches):
+        for batch in batches:
+            if len(batch):
+                ids = batch.column("vec_id").to_numpy()
+                row, col, d = nearest(near_rows.value[0], near_rows.value[1], ids, _matrix(batch.column("v")), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near_rows.value[0][col]), pa.array(d)], names=["query_id", "vec_id", "score"])
+
     near = filed.groupBy("leaf", "blk").cogroup(visits.groupBy("leaf", "blk")).applyInPandas(within, "query_id long, vec_id long, score double")
+    near = near.unionByName(queries.mapInArrow(seeds, "query_id long, vec_id long, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
