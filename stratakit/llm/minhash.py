@@ -2,7 +2,8 @@
 
 Two permutations make a whole signature: the first scatters a document's shingles over a circle of 2**20 places;
 the second numbers the places, and coordinate k of the signature is the least number found after a turn of the
-circle by k. Bands of coordinates propose pairs; full shingle sets decide them.
+circle by k. Bands of coordinates propose pairs; a bit of every coordinate tells, far beyond doubt, which of them are
+too different; full shingle sets decide the rest.
 
 Documents with equal sets form a class, for which its smallest doc_id stands. In each bucket of a band the members
 are compared with one of them, the hub, not with each other. Where a bucket then still holds several components, the
@@ -74,33 +75,59 @@ class Circulant:
             out = np.minimum(out, self.turns[places[i : i + 4096]].min(axis=0))
         return out
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
+    def keys(self, signature: np.ndarray) -> np.ndarray:
         """A 64-bit bucket key for each band."""
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for column in self.signature(shingles).reshape(self.bands, self.rows).T.astype(np.uint64):
+        for column in signature.reshape(self.bands, self.rows).T.astype(np.uint64):
             out = (out ^ column) * np.uint64(0x9FB21C651E98DF25)
             out ^= out >> np.uint64(29)
         return out.view(np.int64)
 
+    def sketch(self, signature: np.ndarray) -> np.ndarray:
+        """The last bit of each coordinate, as 64-bit words."""
+        bits = np.zeros(-(-len(signature) // 64) * 64, dtype=np.uint8)
+        bits[: len(signature)] = signature & 1
+        return np.packbits(bits).view(np.int64)
+
+
+def most_differing(percent: int, coordinates: int) -> int:
+    """So many bits differ between sketches of sets at the threshold with a chance under 1e-7 only."""
+    p = (1 + percent / 100) / 2
+    return int(np.ceil(coordinates * (1 - p) + 5.3 * np.sqrt(coordinates * p * (1 - p))))
+
+
+def differing(a, b):
+    """How many bits two sketches differ in; Columns of array<long>."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
 
 def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if it is empty), keys."""
+    """doc_id, n_shingles, digest (of the set; null if it is empty), keys, sketch."""
     C.batches(docs.sparkSession)
 
     def run(batches):
         circle, hashes = Circulant(bands, rows), _Hashes()
         for batch in batches:
-            n, digests, keys = [], [], []
+            n, digests, keys, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, width, hashes)
                 n.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(circle.keys(found) if len(found) else np.zeros(0, dtype=np.int64))
-            ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_shingles", "digest", "keys"])
+                if len(found):
+                    signature = circle.signature(found)
+                    keys.append(circle.keys(signature))
+                    sketches.append(circle.sketch(signature))
+                else:
+                    keys.append(np.zeros(0, dtype=np.int64))
+                    sketches.append(np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), ragged(keys), ragged(sketches)], names=["doc_id", "n_shingles", "digest", "keys", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+def ragged(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -177,21 +204,23 @@ def supported(pool: DataFrame, asked: DataFrame, texts: DataFrame, width: int) -
     return mine.join(common, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """docs: doc_id, text. A row for each: doc_id, n_shingles, component_id, kept.
 
     Texts without words, and null texts, have an empty set and are linked with nothing. Rows with one doc_id are one
     document, linked by any of their texts. A null doc_id is linked with nothing: its component_id is null and it is
-    kept. With 32 bands of 6 rows a pair at 85 % is missed with a chance under 1e-6, at 80 % under 1e-4.
+    kept. Unless given, bands and rows are 44 and 8 from 85 % on, 40 and 7 below: a pair at 85 % is missed with a chance
+    under 1e-6, at 80 % under 1e-4.
     """
     spark = docs.sparkSession
+    bands, rows = bands or (44 if percent >= 85 else 40), rows or (8 if percent >= 85 else 7)
     docs = C.pick(docs, doc_id="long", text="string")
     signed, _ = C.written(sign(docs, width, bands, rows), "signed")
     known = signed.where("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes, classes_path = C.written(classes, "classes")
     copies = known.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    sets, sets_path = C.written(known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "keys"), "sets")
+    sets, sets_path = C.written(known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "keys", "sketch"), "sets")
     buckets = sets.select("rep", "n", F.explode("keys").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("hub.rep < last").select("key", "hub")
     members, members_path = C.written(buckets.join(hubs, "key").where("rep <> hub.rep"), "members")
@@ -199,8 +228,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32,
     def near(n, m):
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
+    most = most_differing(percent, bands * rows)
+    sketches = sets.select("rep", "sketch")
     pairs = members.where(near(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    tried, tried_path = C.written(pairs, "pairs")
+    pairs = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+    tried, tried_path = C.written(pairs.where(differing(F.col("sa"), F.col("sb")) <= most).select("a", "b"), "pairs")
     repeated = signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1)
     texts = docs.where("doc_id is not null and text is not null")
     if repeated:
@@ -223,12 +255,13 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32,
     askers = open_.where("c <> most").groupBy(F.col("rep").alias("doc_id")).agg(F.first("n").alias("n"), F.min("least").alias("least"))
     shared = supported(open_.select(F.col("rep").alias("doc_id")).distinct(), askers, texts, width)
     needed = (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
-    judged, judged_path = C.written(askers.join(shared, "doc_id", "left").select(F.col("doc_id").alias("rep"), (F.coalesce("shared", F.lit(0)) * (100 + percent) >= needed).alias("able")), "judged")
-    left = open_.join(judged.where("not able").select("rep"), "rep", "left_anti").join(sets.select("rep", "keys").distinct(), "rep")
-    x = left.where("c <> most").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("keys").alias("ka"))
-    y = left.select(F.col("key").alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("keys").alias("kb"), (F.col("c") == F.col("most")).alias("still"))
+    judged, judged_path = C.written(askers.join(shared, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) * (100 + percent) >= needed).alias("able")), "judged")
+    left = open_.join(judged, "rep", "left").where("able is null or able").withColumn("shared", F.coalesce("shared", "n")).join(sets.select("rep", "keys", "sketch").dropDuplicates(["rep"]), "rep")
+    x = left.where("c <> most").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("keys").alias("ka"), F.col("sketch").alias("sa"), F.col("shared").alias("ma"))
+    y = left.select(F.col("key").alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("keys").alias("kb"), F.col("sketch").alias("sb"), F.col("shared").alias("mb"), (F.col("c") == F.col("most")).alias("still"))
     # a pair of several buckets is taken from the first
-    once = (F.col("ca") != F.col("cb")) & (F.col("still") | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb")) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
+    enough = F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    once = (F.col("ca") != F.col("cb")) & (F.col("still") | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb")) & enough & (differing(F.col("sa"), F.col("sb")) <= most) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
     pairs = x.join(y, (F.col("key") == F.col("at")) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs, pairs_path = C.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     if pairs.take(1):
