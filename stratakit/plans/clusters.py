@@ -141,3 +141,23 @@ def watershed(spark, sf_dir):
 @query("SELECT vec_id AS id, (list_position(a, list_max(a)) - 1)::INTEGER AS most, (list_position(a, list_min(a)) - 1)::INTEGER AS least FROM (SELECT vec_id, embedding AS a FROM embeddings)")
 def argmax(spark, sf_dir):
     return t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vec.argmax(F.col("embedding")).alias("most"), vec.argmin(F.col("embedding")).alias("least"))
+
+
+@query("SELECT lang, count(*) FILTER (source = 'src0')::BIGINT AS src0, count(*) FILTER (source = 'src1')::BIGINT AS src1 FROM documents GROUP BY lang")
+def contingency_matrix(spark, sf_dir):
+    return metrics.contingency_matrix(t(spark, sf_dir, "documents"), "lang", "source").select("lang", "src0", "src1")
+
+
+@query()
+def cluster_points(spark, sf_dir):
+    from ..operators import tidy
+
+    df, centres = four(spark, sf_dir)
+    return tidy.cluster_points(metrics.assign(df, centres), centres)
+
+
+@query("SELECT ((event_id - (SELECT min(event_id) FROM events)) // (SELECT greatest(1, ceil((max(event_id) - min(event_id) + 1) / 100.0)) FROM events))::INTEGER AS bucket, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+def waveform(spark, sf_dir):
+    from ..operators import tidy
+
+    return tidy.waveform(t(spark, sf_dir, "events"), "event_id", "value", 100)

@@ -216,3 +216,34 @@ def windowed_moments(spark, sf_dir):
 
     out = windowed(t(spark, sf_dir, "events"), "ts", "value", "1 day", by=["event_type"])
     return out.select(*(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("window_start", "window_end")), "event_type", "n", r(F.col("mean"), 5).alias("mean"), r(F.col("std"), 5).alias("std"))
+
+
+@query("SELECT l_orderkey, l_linenumber, epoch_us(try_cast(strftime(l_shipdate, '%Y-%m-%d') AS TIMESTAMP)) // 1000000 AS seconds FROM lineitem")
+def convert_timestamp(spark, sf_dir):
+    text_ = F.date_format("l_shipdate", "yyyy-MM-dd")
+    ts = chrono.convert_timestamp(text_)
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts).alias("seconds"))
+
+
+@query(f"""
+WITH d AS (SELECT l_orderkey, l_linenumber, (floor(abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1000000.0) % 86400) / 3600.0 AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, {R('v')} AS hours FROM d
+""")
+def delta_within_day(spark, sf_dir):
+    df = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = E.TimeDeltaEncoder("l_shipdate", 0, "o_orderdate", interval="hour", compat=True)
+    return df.select("l_orderkey", "l_linenumber", r(e.value()).alias("hours"))
+
+
+@query("SELECT 'multilabel' AS task WHERE (SELECT max(quality + toxic) FROM labels) > 1 UNION ALL SELECT 'binary' WHERE (SELECT max(quality + toxic) FROM labels) = 1")
+def determine_task(spark, sf_dir):
+    from ..operators.regression import determine_task as task
+
+    df = t(spark, sf_dir, "labels").select(F.array("quality", "toxic").alias("y"))
+    return spark.createDataFrame([(task(df, "y"),)], "task string")
+
+
+@query("SELECT event_id, list_sort([value, 1.0::DOUBLE, user_id::DOUBLE]) AS parts FROM events")
+def flatten_containers(spark, sf_dir):
+    flat = vec.flatten_containers(F.array("value", F.lit(1.0)), F.array(F.col("user_id").cast("double")))
+    return t(spark, sf_dir, "events").select("event_id", F.array_sort(flat).alias("parts"))
