@@ -189,11 +189,11 @@ def test_blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[T
         yield built
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 10, block_words: int = 2_000_000, shard_words: int = 2_000_000, spans: bool = False) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 10, block_words: int = 2_000_000, shard_words: int = 2_000_000, spans: bool = False, prefix: str = "") -> DataFrame:
     """``keep`` of docs (at least text must exist), with n_words, n_hit, n_items, items_sha256, contaminated, longest_match.
 
     A null or wordless text has no words and no hits. Items without words are never found; items with one id count
-    once; a null item_id counts as ``null``. Without items nothing is hit. ``spans`` adds the verbatim matches
+    once; a null item_id counts as ``null``. Without items nothing is hit. ``prefix`` goes before the new columns' names. ``spans`` adds the verbatim matches
     (first word, words, item_id, first word in the item). ``keep`` may hold any columns: they pass unchanged.
     """
     spark = docs.sparkSession
@@ -202,7 +202,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     kept = docs.select(*(f"`{k}`" for k in keep))
     blocks = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, size, block_words)]
     rows = docs.select(*(f"`{k}`" for k in keep), docs["text"].cast("string").alias("__text"))
-    schema = C.ddl(kept) + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+    made = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "longest_match": "long"}
+    schema = ", ".join([C.ddl(kept), *(f"`{prefix}{k}` {kind}" for k, kind in made.items())])
     span = "array<struct<start:long,words:long,item_id:string,item_start:long>>"
 
     def run(batches):
@@ -227,13 +228,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
             table = pa.Table.from_batches(held).combine_chunks()
             hit = np.array(out["hit"], dtype=np.int64)
             columns = [*(table.column(k).combine_chunks() for k in keep), pa.array(out["n"], pa.int64()), pa.array(hit), pa.array(out["items"], pa.int64()), pa.array(out["sha"], pa.string()), pa.array(hit > 0), pa.array(out["longest"], pa.int64())]
-            names = [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"]
+            names = [*keep, *(f"{prefix}{k}" for k in made)]
             if spans:
                 columns.append(pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))))
-                names.append("spans")
+                names.append(f"{prefix}spans")
             yield from pa.table(columns, names=names).to_batches()
 
-    return rows.mapInArrow(run, schema + f", spans {span}" * spans)
+    return rows.mapInArrow(run, schema + f", `{prefix}spans` {span}" * spans)
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -242,4 +243,4 @@ def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of a test item occurs, with their own columns."""
-    return scan(docs, benchmark, keep=tuple(docs.columns)).where("not contaminated").select(*(f"`{c}`" for c in docs.columns))
+    return scan(docs, benchmark, keep=tuple(docs.columns), prefix="__leak_").where("not __leak_contaminated").select(*(f"`{c}`" for c in docs.columns))
