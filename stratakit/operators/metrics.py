@@ -140,6 +140,7 @@ def assign(df: DataFrame, centres: list[list[float]], features: str = "features"
 
     if not centres:
         raise ValueError("no centres")
+    df = df.drop("cluster", "distance")
     if distance == "euclidean" and len(centres) * len(centres[0]) > 256:
         c = df.sparkSession.sparkContext.broadcast(np.array(centres, dtype=float))
         names = df.columns

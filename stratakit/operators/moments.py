@@ -46,73 +46,77 @@ class Moments:
 
 @dataclass
 class Gram:
-    """Sums over rows of (1, x)(1, x)': all that means, covariances and least squares need."""
+    """Number of rows, means, and sums of products of deviations: all that covariances and least squares need."""
 
-    matrix: np.ndarray
+    n: float
+    mean: np.ndarray
+    centred: np.ndarray
 
-    @property
-    def n(self) -> float:
-        return float(self.matrix[0, 0])
+    @classmethod
+    def around(cls, n: float, shift: np.ndarray, sums: np.ndarray, products: np.ndarray) -> Gram:
+        """From sums and products of x - shift."""
+        d = sums / max(n, 1)
+        return cls(n, shift + d, products - n * np.outer(d, d))
 
     @property
-    def mean(self) -> np.ndarray:
-        return self.matrix[0, 1:] / max(self.n, 1)
+    def products(self) -> np.ndarray:
+        """Sums of products of the values themselves."""
+        return self.centred + self.n * np.outer(self.mean, self.mean)
 
     def covariance(self, ddof: int = 0) -> np.ndarray:
-        m = self.mean
-        return (self.matrix[1:, 1:] - self.n * np.outer(m, m)) / max(self.n - ddof, 1)
+        return self.centred / max(self.n - ddof, 1)
 
     def correlation(self) -> np.ndarray:
-        c = self.covariance()
-        s = np.sqrt(np.maximum(np.diag(c), 0))
+        s = np.sqrt(np.maximum(np.diag(self.centred), 0))
         s[s == 0] = 1.0
-        return c / np.outer(s, s)
+        return self.centred / np.outer(s, s)
 
 
-def gram(df: DataFrame, features: list[str], shift: bool = True) -> Gram:
+def gram(df: DataFrame, features: list[str]) -> Gram:
     """Of numeric columns; rows with a null or NaN among them are left out.
 
-    One aggregate of d(d + 1)/2 sums. ``shift`` takes the columns' means off first (another pass), so that large
-    means don't cost digits; the matrix returned is of the unshifted columns.
+    One aggregate of the means, one of d(d + 1)/2 sums of products around them, so that large means don't cost digits.
     """
     d = len(features)
     data = df.select(*(clean(F.col(f"`{f}`")).alias(f"f{i}") for i, f in enumerate(features))).dropna()
-    means = np.zeros(d)
-    if shift:
-        means = np.array([x or 0.0 for x in data.agg(*(F.avg(f"f{i}") for i in range(d))).first()], dtype=float)
-    x = [F.col(f"f{i}") - float(means[i]) for i in range(d)]
+    shift = np.array([x or 0.0 for x in data.agg(*(F.avg(f"f{i}") for i in range(d))).first()], dtype=float)
+    x = [F.col(f"f{i}") - float(shift[i]) for i in range(d)]
     sums = data.agg(F.count(F.lit(1)).alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(d)), *(F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d))).first()
-    n = sums["n"]
-    s = np.array([sums[f"s{i}"] or 0.0 for i in range(d)])
     p = np.zeros((d, d))
     for i in range(d):
         for j in range(i, d):
             p[i, j] = p[j, i] = sums[f"p{i}_{j}"] or 0.0
-    out = np.zeros((d + 1, d + 1))
-    out[0, 0], out[0, 1:] = n, s + n * means
-    out[1:, 0] = out[0, 1:]
-    out[1:, 1:] = p + np.outer(s, means) + np.outer(means, s) + n * np.outer(means, means)
-    return Gram(out)
+    return Gram.around(sums["n"], shift, np.array([sums[f"s{i}"] or 0.0 for i in range(d)]), p)
 
 
 def vector_gram(df: DataFrame, column: str, size: int) -> Gram:
-    """Of an array<double> column of ``size`` elements, by partial matrices: each task gives one row."""
+    """Of an array<double> column of ``size`` elements, by partial matrices: each task gives one row. Two passes, the
+    first for the means."""
     import pyarrow as pa
 
-    def run(batches):
-        total = np.zeros((size + 1, size + 1))
-        for batch in batches:
-            rows = [v for v in batch.column(0).to_pylist() if v is not None and len(v) == size and None not in v]
-            if rows:
-                x = np.c_[np.ones(len(rows)), np.array(rows, dtype=float)]
-                total += x.T @ x
-        yield pa.RecordBatch.from_pydict({"m": [total.ravel().tolist()]})
-
-    parts = df.select(F.col(column).cast("array<double>").alias("v")).mapInArrow(run, "m array<double>")
-    cells = parts.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()
-    out = np.zeros((size + 1) ** 2)
-    out[cells["i"].to_numpy()] = cells["v"].to_numpy()
-    return Gram(out.reshape(size + 1, size + 1))
+    vectors = df.select(F.col(column).cast("array<double>").alias("v")).where((F.size("v") == size) & F.forall("v", lambda x: x.isNotNull()))
+
+    def summed(shift, products):
+        def run(batches):
+            total = np.zeros(1 + size + size * size * products)
+            for batch in batches:
+                if len(batch):
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), size) - shift
+                    total[0] += len(x)
+                    total[1 : size + 1] += x.sum(axis=0)
+                    if products:
+                        total[size + 1 :] += (x.T @ x).ravel()
+            yield pa.RecordBatch.from_pydict({"m": [total.tolist()]})
+
+        cells = vectors.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()
+        out = np.zeros(1 + size + size * size * products)
+        out[cells["i"].to_numpy()] = cells["v"].to_numpy()
+        return out
+
+    first = summed(np.zeros(size), False)
+    shift = first[1:] / max(first[0], 1)
+    m = summed(shift, True)
+    return Gram.around(m[0], shift, m[1 : size + 1], m[size + 1 :].reshape(size, size))
 
 
 def order_statistics(df: DataFrame, c: Column, ranks: list[int], small: int = 20_000) -> list[float]:

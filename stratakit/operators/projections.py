@@ -54,7 +54,7 @@ class Mca:
 
 def mca(df: DataFrame, indicators: list[str], top_k: int = 3) -> Mca:
     """Correspondence analysis of 0/1 columns with equal row sums, from the matrix of their joint counts (Burt)."""
-    burt = moments.gram(df, indicators, shift=False).matrix[1:, 1:]
+    burt = moments.gram(df, indicators).products
     n = burt.sum()
     used = np.diag(burt) > 0
     p = burt[np.ix_(used, used)] / max(n, 1)

@@ -126,11 +126,11 @@ def cells(spark, sf_dir):
 
 @query(f"""
 WITH {CELL}, h AS (SELECT g.r, g.c, coalesce(a.v, 0) + 2 * g.v + coalesce(b.v, 0) AS v FROM g LEFT JOIN g a ON a.r = g.r AND a.c = g.c - 1 LEFT JOIN g b ON b.r = g.r AND b.c = g.c + 1)
-SELECT h.r::INTEGER AS r, h.c::INTEGER AS c, {R('coalesce(a.v, 0) + 2 * h.v + coalesce(b.v, 0)', 3)} AS v FROM h LEFT JOIN h a ON a.c = h.c AND a.r = h.r - 1 LEFT JOIN h b ON b.c = h.c AND b.r = h.r + 1
+SELECT h.r::INTEGER AS r, h.c::INTEGER AS c, {R('coalesce(a.v, 0) + 2 * h.v + coalesce(b.v, 0)', 6)} AS v FROM h LEFT JOIN h a ON a.c = h.c AND a.r = h.r - 1 LEFT JOIN h b ON b.c = h.c AND b.r = h.r + 1
 """)
 def blur(spark, sf_dir):
     out = grid.blur(cells(spark, sf_dir))
-    return out.select("r", "c", r(F.col("v"), 3).alias("v"))
+    return out.select("r", "c", r(F.col("v"), 6).alias("v"))
 
 
 @query()
@@ -156,7 +156,7 @@ def cluster_points(spark, sf_dir):
     return tidy.cluster_points(metrics.assign(df, centres), centres)
 
 
-@query("SELECT ((event_id - (SELECT min(event_id) FROM events)) // (SELECT greatest(1, ceil((max(event_id) - min(event_id) + 1) / 100.0)) FROM events))::INTEGER AS bucket, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+@query("SELECT floor((event_id - (SELECT min(event_id) FROM events)) / (SELECT greatest(1, ceil((max(event_id) - min(event_id) + 1) / 100.0)) FROM events)::DOUBLE)::INTEGER AS bucket, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def waveform(spark, sf_dir):
     from ..operators import tidy
 
