@@ -28,7 +28,7 @@ from . import _common as C
 from .tokens import ODD, PIECE, byte_symbols
 
 MAGIC, BLOCK = 0x31524F4650, 256
-SHARD_VALUES = 8_000_000
+SHARD_VALUES = 4_000_000
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -138,7 +138,7 @@ class Encoder:
     own, those that end in white space (the ends of texts) by themselves.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -164,7 +164,7 @@ class Encoder:
         if rest:
             joined = ["\n" + p if not p[0].isspace() else p for p in rest]
             sizes = np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined))
-            ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
             raw, skip, at = ids.tobytes(), len(self.line), 0
             for p, q, end in zip(rest, joined, (4 * ends).tolist(), strict=True):
@@ -177,10 +177,10 @@ class Encoder:
         whole = {t for t in texts if ODD.search(t) or any(s in t for s in self.specials)}
         cut = [[t] if t in whole else PIECE.findall(t) for t in texts]
         known = self.known
-        new = [p for p in set().union(*cut).difference(known) if p]
+        new = list(set().union(*cut).difference(known))
         for i in range(0, len(new), 20_000):
             known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000], whole), strict=True))
-        out = [b"".join(map(known.__getitem__, c)) if c != [""] else b"" for c in cut]
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
         full = len(known) > self.most
         for p in new:
             if full or len(p) > 60:
@@ -243,7 +243,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool =
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 doc_ids, sizes, ids = decode_shard(data.as_buffer())
                 stop = np.cumsum(sizes)
-                raw = ids.astype("<u4")
+                raw = np.ascontiguousarray(ids, dtype="<u4")
                 cols = {
                     "shard": pa.array([posixpath.basename(path)] * len(doc_ids), pa.string()),
                     "doc_id": pa.array(doc_ids, pa.int64()),

@@ -20,9 +20,11 @@ from . import _common as C
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space with the run of other characters after it. No pre-token crosses from such a run into white space, so
-#: the pieces can be cut apart and counted once each. \x1c-\x1f are white space for Python only: such texts aren't cut.
-PIECE = re.compile(r"\s*\S+|\s+")
+#: White space with the run of other characters after it; no pre-token crosses from such a run into white space. A run of
+#: common letters and the punctuation behind it are two pieces, as between these there always is a boundary (the
+#: apostrophe isn't among the punctuation). So texts can be cut into pieces that are counted once each.
+#: \x1c-\x1f are white space for Python only: texts with them aren't cut.
+PIECE = re.compile(r"\s*[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+(?=[!#$%&()*+,\-./:;<=>?@]*(?:\s|\Z))|[!#$%&()*+,\-./:;<=>?@]+(?=\s|\Z)|\s*\S+|\s+")
 ODD = re.compile(r"[\x1c-\x1f]")
 
 
@@ -131,16 +133,24 @@ class Counter:
 
     def __call__(self, texts: list[str]) -> list[int]:
         cut = [self.pieces(t) for t in texts]
-        known = self.known
-        new = list(set().union(*(c for c, _ in cut)).difference(known))
+        known, get = self.known, self.known.get
+        found = [list(map(get, c)) for c, _ in cut]
+        missing = [[i for i, v in enumerate(parts) if v is None] if None in parts else () for parts in found]
+        new = list({c[i] for (c, _), at in zip(cut, missing, strict=True) for i in at})
+        fresh: dict[str, int] = {}
         for i in range(0, len(new), 50_000):
-            known.update(zip(new[i : i + 50_000], self.merger.count_pieces(new[i : i + 50_000]), strict=True))
-        out = [sum(map(known.__getitem__, c)) + s for c, s in cut]
-        full = len(known) > self.most
-        for p in new:
-            if full or len(p) > 60:
-                del known[p]
-        return out
+            fresh.update(zip(new[i : i + 50_000], self.merger.count_pieces(new[i : i + 50_000]), strict=True))
+        for (c, _), parts, at in zip(cut, found, missing, strict=True):
+            for i in at:
+                parts[i] = fresh[c[i]]
+        room = self.most - len(known)
+        for p, v in fresh.items():
+            if room <= 0:
+                break
+            if len(p) <= 60:
+                known[p] = v
+                room -= 1
+        return [sum(parts) + s for parts, (_, s) in zip(found, cut, strict=True)]
 
 
 @functools.cache
