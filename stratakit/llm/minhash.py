@@ -32,7 +32,7 @@ CIRCLE = 1 << 20
 class _Hashes(dict):
     """Word to a 64-bit hash, remembered for the first ``most`` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
