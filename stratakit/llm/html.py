@@ -29,6 +29,7 @@ NOISE_WORDS = frozenset(
     "comment comments reply replies respond disqus discussion share sharing social follow subscribe subscription newsletter signup login related recommended recommendations "
     "form search skip hidden".split()
 )
+SURE_WORDS = frozenset("ad ads advert advertisement sponsored promo cookie cookies notice comment comments reply replies share newsletter related".split())
 MAIN_WORDS = frozenset("article content post entry story main maincontent articlebody body-text".split())
 #: An open tag that one of these closes by itself.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,8 +58,12 @@ def _marks(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
             names.update(w.lower() for part in value.split() for w in WORD_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower()) if w)
         main = main or bool(names & MAIN_WORDS) or found.get("role", "").lower() in ("main", "article")
         noise = noise or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        if names & NOISE_WORDS and tag not in ("html", "body", "article", "main"):
-            noise = noise or not (tag in ("h1", "h2", "p", "header") and inside and not names & {"comment", "comments", "ad", "ads", "advert", "notice", "cookie", "share"})
+        marked = names & NOISE_WORDS
+        if inside or names & MAIN_WORDS:
+            marked -= {"header", "head"}  # an article's own
+        if marked and tag not in ("html", "body"):
+            # on headings, paragraphs and articles themselves only what can't be meant otherwise counts
+            noise = noise or tag not in ("h1", "h2", "p", "header", "article", "main") or bool(marked & SURE_WORDS) or not (inside or main)
             main = main and not noise
     return main, noise
 

@@ -202,6 +202,13 @@ def test_page_edges(tree, page, want):
     assert html.main_text(page, tree) == want
 
 
+def test_marks(tree):
+    page = """<div class="site-header"><p>The name of this site</p></div><article class="post"><div class="entry-header"><h1>A head line</h1></div><p class="lead">The lead.</p><div class="entry-content"><p>Body of it.</p></div>
+    <div class="post-footer">Filed under things</div></article><article class="comment"><p>I am a reader with an opinion.</p></article><section id="Comments"><article><p>So am I, and at length.</p></article></section>
+    <div role="alert">Mind this.</div><div class="newsletterSignup"><p>Get our letters every week.</p></div>"""
+    assert html.main_text(page, tree) == "A head line\n\nThe lead.\n\nBody of it."
+
+
 def test_page_without_article(tree):
     body = "word " * 30
     page = f"<div class=nav><a href=1>a</a> <a href=2>b</a></div><h1>Head line</h1><p>{body}</p><p>Short.</p><p>{body}</p><ul><li><a>x y</a><li><a>z</a></ul>"
