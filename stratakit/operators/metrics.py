@@ -61,7 +61,7 @@ def silhouette(df: DataFrame, singleton: float = 1.0, block: int = 4096) -> Data
     pairs = left.unionByName(right).groupBy("b", "o").applyInPandas(sums, "id long, k long, other long, s double")
     summed = pairs.groupBy("id", "k", "other").agg(F.sum("s").alias("s"))
     sizes = _sizes(df).select(F.col("cluster").cast("long").alias("other"), "n")
-    each = summed.join(F.broadcast(sizes), "other")
+    each = summed.join(sizes, "other")
     own = F.col("k") == F.col("other")
     score = each.groupBy("id").agg(
         F.max(F.when(own, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(0.0))).alias("a"),
@@ -77,11 +77,11 @@ def davies_bouldin(df: DataFrame) -> DataFrame:
     """davies_bouldin: mean over clusters of the largest (s_i + s_j) / d_ij, s the mean distance to the centre."""
     c = centroids(df)
     d2 = F.aggregate(F.zip_with("features", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    spread = df.join(F.broadcast(c), "cluster").groupBy("cluster").agg(F.avg(F.sqrt(d2)).alias("s"))
+    spread = df.join(c, "cluster").groupBy("cluster").agg(F.avg(F.sqrt(d2)).alias("s"))
     both = c.join(spread, "cluster")  # a row a cluster
     a, b = both.select(F.col("cluster").alias("i"), F.col("centre").alias("ci"), F.col("s").alias("si")), both.select(F.col("cluster").alias("j"), F.col("centre").alias("cj"), F.col("s").alias("sj"))
     apart = F.sqrt(F.aggregate(F.zip_with("ci", "cj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    worst = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i").agg(F.max(F.try_divide(F.col("si") + F.col("sj"), apart)).alias("r"))
+    worst = a.join(b, F.col("i") != F.col("j")).groupBy("i").agg(F.max(F.try_divide(F.col("si") + F.col("sj"), apart)).alias("r"))
     return worst.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("davies_bouldin"))
 
 
@@ -90,7 +90,7 @@ def calinski_harabasz(df: DataFrame) -> DataFrame:
     x = df.select("cluster", F.posexplode("features").alias("dim", "x"))
     cells = x.groupBy("cluster", "dim").agg(F.count("x").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("w"))
     whole = cells.groupBy("dim").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
-    joined = cells.join(F.broadcast(whole), "dim")
+    joined = cells.join(whole, "dim")
     out = joined.agg(F.sum("w").alias("w"), F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))).alias("b"), F.sum(F.when(F.col("dim") == 0, F.col("n"))).alias("n"), F.count_if(F.col("dim") == 0).alias("k"))
     return out.select(F.try_divide(F.col("b") * (F.col("n") - F.col("k")), F.col("w") * (F.col("k") - 1)).alias("calinski_harabasz"))
 

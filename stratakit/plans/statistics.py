@@ -116,7 +116,7 @@ def ordered(spark, sf_dir):
 
     before = e.groupBy("b").count().select("b", (F.sum("count").over(Window.orderBy("b")) - F.col("count")).alias("before"))
     w = Window.partitionBy("b").orderBy("event_id")
-    return e.join(F.broadcast(before), "b").select((F.col("before") + F.row_number().over(w) - 1).alias("i"), "value")
+    return e.join(before, "b").select((F.col("before") + F.row_number().over(w) - 1).alias("i"), "value")
 
 
 def vectors(spark, sf_dir):
