@@ -131,18 +131,30 @@ def put(path: str, data: bytes) -> None:
     store.move(f"{place}.{os.getpid()}.tmp", place)
 
 
+class _Known(dict):
+    """Pieces to their ids; a piece that isn't known stands for itself and is noted."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, piece: str) -> str:
+        self.new.add(piece)
+        return piece
+
+
 class Encoder:
-    """Ids by the tokenizers library. Pieces between which no token reaches are encoded once and remembered.
+    """Ids by the tokenizers library. Pieces between which no token reaches are encoded once; the first ``most`` are
+    remembered, the common ones among them.
 
     New pieces go to the library in one string: those that don't begin with white space after a line break of their
-    own, those that end in white space (the ends of texts) by themselves.
+    own; texts that aren't cut, and white space at the ends of texts, by themselves.
     """
 
     def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.library, self.most, self.known = Tokenizer.from_file(path), most, _Known()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         byte_of = {s: b for b, s in byte_symbols().items()}
         vocabulary = self.library.get_vocab()
@@ -152,39 +164,50 @@ class Encoder:
             if all(c in byte_of for c in token):
                 self.bytes[i] = len(token)
         self.bytes[[vocabulary[s] for s in self.specials]] = 0
-        self.line = self._alone(["\n"])[0]
+        self.line = len(self._alone(["\n"])[0])
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[str], whole: set[str]) -> list[bytes]:
-        apart = [p for p in pieces if p[-1].isspace() or p in whole]
-        out = dict(zip(apart, self._alone(apart), strict=True)) if apart else {}
-        rest = [p for p in pieces if p not in out]
-        if rest:
-            joined = ["\n" + p if not p[0].isspace() else p for p in rest]
-            sizes = np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined))
-            ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
-            raw, skip, at = ids.tobytes(), len(self.line), 0
-            for p, q, end in zip(rest, joined, (4 * ends).tolist(), strict=True):
-                out[p] = raw[at + skip if len(q) > len(p) else at : end]
-                at = end
-        return [out[p] for p in pieces]
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Of pieces that end in other characters than white space."""
+        joined = [p if p[0] in " \n\t" or p[0].isspace() else "\n" + p for p in pieces]
+        text = "".join(joined)
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        chars = np.fromiter(map(len, joined), np.int64, len(joined))
+        # where each character begins, and so each piece ends, in bytes
+        begin = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.searchsorted(np.cumsum(self.bytes[ids]), begin[np.cumsum(chars)]) + 1)
+        starts = np.r_[0, ends[:-1]] + self.line * (chars > np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        out = ids.tobytes()
+        return [out[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        whole = {t for t in texts if ODD.search(t) or any(s in t for s in self.specials)}
-        cut = [[t] if t in whole else PIECE.findall(t) for t in texts]
-        known = self.known
-        new = list(set().union(*cut).difference(known))
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000], whole), strict=True))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        full = len(known) > self.most
-        for p in new:
-            if full or len(p) > 60:
-                del known[p]
+        known, alone = self.known, set()
+        get, new, found = known.__getitem__, known.new, []
+        new.clear()
+        for t in texts:
+            if ODD.search(t) or any(s in t for s in self.specials):
+                alone.add(t)
+                found.append([get(t)])
+                continue
+            c = PIECE.findall(t)
+            if c and c[-1][-1].isspace():
+                alone.add(c[-1])
+            found.append(list(map(get, c)))
+        apart = [p for p in new if p in alone]
+        rest = [p for p in new if p not in alone] if apart else list(new)
+        fresh = dict(zip(apart, self._alone(apart), strict=True)) if apart else {}
+        for i in range(0, len(rest), 20_000):
+            fresh.update(zip(rest[i : i + 20_000], self._together(rest[i : i + 20_000]), strict=True))
+        out = [b"".join([fresh[x] if x.__class__ is str else x for x in parts]) for parts in found]
+        for p in fresh:
+            if len(known) >= self.most:
+                break
+            if len(p) <= 60:
+                known[p] = fresh[p]
         return out
 
 
