@@ -84,21 +84,27 @@ class Circulant:
         return out.view(np.int64)
 
     def sketch(self, signature: np.ndarray) -> np.ndarray:
-        """The last bit of each coordinate, as 64-bit words."""
-        bits = np.zeros(-(-len(signature) // 64) * 64, dtype=np.uint8)
-        bits[: len(signature)] = signature & 1
-        return np.packbits(bits).view(np.int64)
+        """The last four bits of each coordinate, 16 coordinates a 64-bit word."""
+        out = np.zeros(-(-len(signature) // 16) * 16, dtype=np.uint8)
+        out[: len(signature)] = signature & 15
+        return (out[0::2] << 4 | out[1::2]).view(np.int64)
 
 
 def most_differing(percent: int, coordinates: int) -> int:
-    """So many bits differ between sketches of sets at the threshold with a chance under 1e-7 only."""
-    p = (1 + percent / 100) / 2
+    """So many coordinates differ between sketches of sets at the threshold with a chance under 1e-7 only."""
+    p = percent / 100 + (1 - percent / 100) / 16
     return int(np.ceil(coordinates * (1 - p) + 5.3 * np.sqrt(coordinates * p * (1 - p))))
 
 
 def differing(a, b):
-    """How many bits two sketches differ in; Columns of array<long>."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """How many coordinates two sketches differ in; Columns of array<long>."""
+
+    def four(x, y):
+        v = x.bitwiseXOR(y)
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        return F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(a, b, four), F.lit(0), lambda s, x: s + x)
 
 
 def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -106,7 +112,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     C.batches(docs.sparkSession)
 
     def run(batches):
-        circle, hashes = Circulant(bands, rows), _Hashes()
+        circle, hashes = C.held(("circulant", bands, rows), lambda: (Circulant(bands, rows), _Hashes()))
         for batch in batches:
             n, digests, keys, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -136,7 +142,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
-        hashes, sets = _Hashes(), OrderedDict()
+        hashes, sets = C.held("hashes", _Hashes), OrderedDict()
 
         def of(doc_id, text):
             if (found := sets.get((doc_id, len(text)))) is None:
@@ -181,27 +187,38 @@ def components(edges: DataFrame) -> DataFrame:
         C.remove(spark, old)
 
 
-def supported(pool: DataFrame, asked: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, shared: for each document of ``asked`` (doc_id) how many of its shingles another of ``pool`` (doc_id) has."""
+def only(texts: DataFrame, ids: DataFrame, places: int = 1 << 18) -> DataFrame:
+    """The rows of ``texts`` whose doc_id is in ``ids`` (doc_id). Hashes of the ids, ``places`` at most, are broadcast to
+    drop most other rows before the texts are dealt out."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(places)).cast("int")
+    near = texts.withColumn("__place", place).join(F.broadcast(ids.select(place.alias("__place")).distinct()), "__place", "left_semi").drop("__place")
+    return near.join(ids, "doc_id", "left_semi")
+
+
+def supported(pool: DataFrame, asked: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """What shingles documents share. pool: doc_id, c (component); asked: doc_id, most (a component).
+
+    For each document asked doc_id, shared: how many of its shingles another document of the pool has. And for each
+    row asked doc_id, most, within: how many of its shingles that component has.
+    """
 
     def shingles(batches):
-        hashes = _Hashes()
+        hashes = C.held("hashes", _Hashes)
         for batch in batches:
             sets = [shingle_set(t, width, hashes) for t in batch.column("text").to_pylist()]
             ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), dtype=np.int64), [len(x) for x in sets])
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat)], names=["doc_id", "shingle"])
 
-    def counts(batches):
-        hashes = _Hashes()
-        for batch in batches:
-            sets = [shingle_set(t, width, hashes) for t in batch.column("text").to_pylist()]
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
-
-    common = texts.join(pool, "doc_id", "left_semi").mapInArrow(counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").select("shingle")
-    mine = texts.join(asked, "doc_id", "left_semi").mapInArrow(shingles, "doc_id long, shingle long")
-    return mine.join(common, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    rows, path = C.written(only(texts, pool.select("doc_id"), 1 << 18).select("doc_id", "text").mapInArrow(shingles, "doc_id long, shingle long"), "shingles")
+    cells = rows.join(pool, "doc_id").groupBy("c", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    common = cells.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").select("shingle")
+    mine = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    shared, shared_path = C.written(mine.join(common, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared")), "shared")
+    own = rows.join(asked, "doc_id").join(cells.select(F.col("c").alias("most"), "shingle"), ["most", "shingle"], "left_semi")
+    within, within_path = C.written(own.groupBy("doc_id", "most").agg(F.count(F.lit(1)).alias("within")), "within")
+    C.remove(rows.sparkSession, path)
+    return shared, within
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None) -> DataFrame:
@@ -240,7 +257,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None
 
     def decided(pairs):
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return verify(pairs, texts.join(wanted, "doc_id", "left_semi"), width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return verify(pairs, only(texts, wanted), width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     links, links_path = C.written(copies.union(decided(tried)), "links")
     stars = components(links)
@@ -252,15 +269,17 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None
     open_, open_path = C.written(labelled.join(mixed, "key"), "open")
     # of two members of different components one at least isn't in its bucket's largest: only these ask. One that shares
     # fewer shingles with all others together than a link with the smallest partner takes has no link
-    askers = open_.where("c <> most").groupBy(F.col("rep").alias("doc_id")).agg(F.first("n").alias("n"), F.min("least").alias("least"))
-    shared = supported(open_.select(F.col("rep").alias("doc_id")).distinct(), askers, texts, width)
+    outside = open_.where("c <> most").withColumnRenamed("rep", "doc_id")
+    askers = outside.groupBy("doc_id").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+    shared, within = supported(open_.select(F.col("rep").alias("doc_id"), "c").distinct(), outside.select("doc_id", "most").distinct(), texts, width)
     needed = (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
     judged, judged_path = C.written(askers.join(shared, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) * (100 + percent) >= needed).alias("able")), "judged")
     left = open_.join(judged, "rep", "left").where("able is null or able").withColumn("shared", F.coalesce("shared", "n")).join(sets.select("rep", "keys", "sketch").dropDuplicates(["rep"]), "rep")
-    x = left.where("c <> most").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("keys").alias("ka"), F.col("sketch").alias("sa"), F.col("shared").alias("ma"))
+    left = left.join(within.withColumnRenamed("doc_id", "rep"), ["rep", "most"], "left")
+    x = left.where("c <> most").select("key", F.coalesce("within", F.lit(0)).alias("wa"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("keys").alias("ka"), F.col("sketch").alias("sa"), F.col("shared").alias("ma"))
     y = left.select(F.col("key").alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("keys").alias("kb"), F.col("sketch").alias("sb"), F.col("shared").alias("mb"), (F.col("c") == F.col("most")).alias("still"))
     # a pair of several buckets is taken from the first
-    enough = F.least("ma", "mb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    enough = F.least("ma", "mb", F.when(F.col("still"), F.col("wa")).otherwise(F.col("ma"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     once = (F.col("ca") != F.col("cb")) & (F.col("still") | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb")) & enough & (differing(F.col("sa"), F.col("sb")) <= most) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
     pairs = x.join(y, (F.col("key") == F.col("at")) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs, pairs_path = C.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -93,7 +93,15 @@ def test_circulant_signature_turns_one_permutation():
     places = c.scatter[(s % minhash.CIRCLE).astype(np.int64)]
     want = [numbers[(places + k) % minhash.CIRCLE].min() for k in range(12)]
     assert c.signature(s).tolist() == want
-    assert c.sketch(c.signature(s)).view(np.uint8)[0] == int("".join(str(x & 1) for x in want[:8]), 2)
+    assert c.sketch(c.signature(s)).view(np.uint8).tolist() == [(a & 15) << 4 | b & 15 for a, b in zip(want[0::2], want[1::2], strict=True)] + [0] * 2
+
+
+def test_differing_coordinates(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 16, (2, 48)).astype(np.uint32)
+    c = minhash.Circulant(12, 4)
+    df = spark.createDataFrame([(c.sketch(a).tolist(), c.sketch(b).tolist())], "a array<long>, b array<long>")
+    assert df.select(minhash.differing(df.a, df.b)).first()[0] == (a != b).sum()
 
 
 def brute_leaks(docs, items, size=10):
