@@ -25,12 +25,24 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()))
 
 
-def batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+def batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     """Bounds an Arrow batch by rows and bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+_held: list = [None, None]
+
+
+def held(key, make):
+    """What ``make`` gives, kept by this process from task to task until another key is asked for: a Python worker
+    remembers for one operator at a time."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext

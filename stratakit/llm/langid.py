@@ -8,6 +8,7 @@ gram decides. A document's language is the one with the largest sum over its wor
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,6 +39,7 @@ class LanguageModel:
     langs: list[str]
     words: Table | None = None
     grams: list[Table] = field(default_factory=list)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
 
     def score_word(self, word: str) -> np.ndarray:
@@ -149,7 +151,7 @@ def _annotated(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFr
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scores = _Scores(shipped.value)
+        scores = C.held(shipped.value.key, lambda: _Scores(shipped.value))
         for batch in batches:
             langs, values = classify(batch.column("text").to_pylist(), shipped.value, scores)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(values, pa.float64())], names=[*keep, "lang_pred", "score"])
@@ -187,7 +189,7 @@ def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scores = _Scores(shipped.value)
+        scores = C.held(shipped.value.key, lambda: _Scores(shipped.value))
         for batch in batches:
             langs, values = classify(batch.column("text").to_pylist(), shipped.value, scores)
             yield batch.filter(pa.array([a != UNDETERMINED and v >= min_score for a, v in zip(langs, values, strict=True)], pa.bool_()))

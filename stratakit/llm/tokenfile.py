@@ -12,7 +12,6 @@ first exception (u64); packed words (u64); exception places (u8), exception valu
 
 from __future__ import annotations
 
-import functools
 import os
 import posixpath
 import zlib
@@ -211,10 +210,8 @@ class Encoder:
         return out
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    """One for each process: a Python worker keeps it from task to task."""
-    return Encoder(path)
+    return C.held(("encoder", path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, path: str, folder: str, end: int = 2, partitions: int | None = None, shard_values: int = SHARD_VALUES) -> DataFrame:

@@ -7,7 +7,6 @@ sequence has a known pair; the symbols that survive are the tokens.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -153,10 +152,8 @@ class Counter:
         return [sum(parts) + s for parts, (_, s) in zip(found, cut, strict=True)]
 
 
-@functools.cache
 def counter(path: str) -> Counter:
-    """One for each process: a Python worker keeps it from task to task."""
-    return Counter(RankMerger(path))
+    return C.held(("counter", path), lambda: Counter(RankMerger(path)))
 
 
 def count(docs: DataFrame, path: str, limit: int = 1024, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
