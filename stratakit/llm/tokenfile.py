@@ -149,7 +149,7 @@ class Encoder:
     own; texts that aren't cut, and white space at the ends of texts, by themselves.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
