@@ -131,13 +131,14 @@ class Found:
     spans: np.ndarray  # document, first word, words, item, first word in the item
 
 
-def search_shard(docs: list[list[bytes]], tests: TestBlock) -> Found:
-    size, get = tests.windows.shape[1], tests.vocabulary.get
+def search_shard(docs: list[np.ndarray], tests: TestBlock) -> Found:
+    """docs: the words of each document as the block's ids, 0 for those it hasn't."""
+    size = tests.windows.shape[1]
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     begin = np.r_[0, np.cumsum(sizes + 1)][:-1]
     whole = np.zeros(int(sizes.sum()) + len(docs), dtype=np.int32)
     for b, d in zip(begin.tolist(), docs, strict=True):
-        whole[b : b + len(d)] = [get(w, 0) for w in d]
+        whole[b : b + len(d)] = d
     array = SuffixArray(whole, tests.need, size)
     lo, hi = array.search(tests.windows, tests.lengths)
     n = hi - lo
@@ -189,7 +190,7 @@ def test_blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[T
         yield built
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 10, block_words: int = 2_000_000, shard_words: int = 2_000_000, spans: bool = False, prefix: str = "") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 10, block_words: int = 2_000_000, shard_words: int = 1_000_000, spans: bool = False, prefix: str = "") -> DataFrame:
     """``keep`` of docs (at least text must exist), with n_words, n_hit, n_items, items_sha256, contaminated, longest_match.
 
     A null or wordless text has no words and no hits. Items without words are never found; items with one id count
@@ -208,22 +209,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
 
     def run(batches):
         for held in C.grouped(batches, lambda b: b.column("__text").nbytes // 6, shard_words):
-            docs_ = [words_of(t) for b in held for t in b.column("__text").to_pylist()]
-            marks: list[list] = [[] for _ in docs_]
-            found = None
+            texts = [t for b in held for t in b.column("__text").to_pylist()]
+            marks: list[list] = [[] for _ in texts]
+            counts = None
             for block in blocks:
-                tests = block.value
-                found = search_shard(docs_, tests)
+                tests, get = block.value, block.value.vocabulary.get
+                ids = [np.array([get(w, 0) for w in words_of(t)], dtype=np.int32) for t in texts]
+                counts = [len(x) for x in ids]
+                found = search_shard(ids, tests)
                 for doc, start, words, item, at in found.spans.tolist():
                     marks[doc].append((start, words, tests.names[item], at))
             out = {"n": [], "hit": [], "items": [], "sha": [], "longest": [], "spans": []}
-            for words, mine in zip(docs_, marks, strict=True):
+            if counts is None:
+                counts = [len(words_of(t)) for t in texts]
+            for words, mine in zip(counts, marks, strict=True):
                 hit = reach = 0
                 for start, length, _, _ in sorted(mine):
                     hit += max(0, start + length - max(start, reach))
                     reach = max(reach, start + length)
                 items = sorted({name for _, _, name, _ in mine})
-                for k, v in zip(out, (len(words), hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), max((m[1] for m in mine), default=0), [{"start": a, "words": b, "item_id": c, "item_start": d} for a, b, c, d in sorted(mine)]), strict=True):
+                for k, v in zip(out, (words, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), max((m[1] for m in mine), default=0), [{"start": a, "words": b, "item_id": c, "item_start": d} for a, b, c, d in sorted(mine)]), strict=True):
                     out[k].append(v)
             table = pa.Table.from_batches(held).combine_chunks()
             hit = np.array(out["hit"], dtype=np.int64)
