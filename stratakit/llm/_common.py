@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +43,19 @@ def held(key, make):
     remembers for one operator at a time."""
     if _held[0] != key:
         _held[:] = [None, None]
+        _give_back()
         _held[:] = [key, make()]
     return _held[1]
 
 
+def _give_back() -> None:
+    """Memory that allocators keep for later goes back to the system: the worker's next operator needs other sizes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext

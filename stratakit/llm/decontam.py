@@ -208,6 +208,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     span = "array<struct<start:long,words:long,item_id:string,item_start:long>>"
 
     def run(batches):
+        C.held("decontamination", dict)  # nothing is kept here, but what another operator kept goes
         for held in C.grouped(batches, lambda b: b.column("__text").nbytes // 6, shard_words):
             texts = [t for b in held for t in b.column("__text").to_pylist()]
             marks: list[list] = [[] for _ in texts]
