@@ -22,6 +22,8 @@ from . import _common as C
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+#: Letters of a run that are looked up at once; a longer run's grams are counted in Python, not by a row of all of them.
+PIECE = 400
 
 
 @dataclass
@@ -45,11 +47,14 @@ class LanguageModel:
     def score_word(self, word: str) -> np.ndarray:
         if (at := self.words.index.get(word)) is not None:
             return self.words.rows[at]
-        padded = f"^{word[:400]}$"
+        padded = f"^{word}$"
         for order, table in zip(self.orders, self.grams, strict=True):
-            found = [at for i in range(len(padded) - order + 1) if (at := table.index.get(padded[i : i + order])) is not None]
-            if found:
-                return table.rows[found].mean(axis=0)
+            last, total, n = len(padded) - order + 1, 0.0, 0
+            for start in range(0, last, PIECE):  # a run of letters without an end may be very long
+                found = [at for i in range(start, min(start + PIECE, last)) if (at := table.index.get(padded[i : i + order])) is not None]
+                total, n = total + table.rows[found].sum(axis=0, dtype=np.float64), n + len(found)
+            if n:
+                return (total / n).astype(np.float32)
         return np.zeros(len(self.langs), dtype=np.float32)
 
 
@@ -82,16 +87,23 @@ def train(docs: DataFrame, max_docs: int = 4000, least: int = 3, max_words: int
             seen: Counter = Counter()
             for lang, text in zip(frame.lang, frame.text, strict=True):
                 for word, n in Counter(LETTERS.findall(text.lower())).items():
-                    seen[lang, word[:400]] += n
-            yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["lang", "key", "n"])
-
-    words, words_path = C.written(sample.mapInPandas(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
+                    seen[lang, 0, word] += n
+                    if len(word) > PIECE:
+                        padded = f"^{word}$"
+                        for order in LanguageModel.orders:
+                            for i in range(len(padded) - order + 1):
+                                seen[lang, order, padded[i : i + order]] += n
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "order", "key", "n"])
+
+    found, words_path = C.written(sample.mapInPandas(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "words")
+    words = found.where("order = 0").drop("order")
     model = LanguageModel([])
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     orders = F.array(*map(F.lit, model.orders))
     grams = F.flatten(F.transform(orders, lambda o: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - o + 1)), lambda i: F.struct(o.alias("order"), F.substr(padded, i, o).alias("gram")))))
-    exploded = words.select("lang", "n", F.explode(grams).alias("g")).where(F.length("g.gram") == F.col("g.order"))
-    counted, grams_path = C.written(exploded.groupBy(F.col("g.order").alias("order"), F.col("g.gram").alias("key"), "lang").agg(F.sum("n").alias("n")), "grams")
+    exploded = words.where(F.length("key") <= PIECE).select("lang", "n", F.explode(grams).alias("g")).where(F.length("g.gram") == F.col("g.order")).select(F.col("g.order").alias("order"), F.col("g.gram").alias("key"), "lang", "n")
+    exploded = exploded.unionByName(found.where("order > 0"))
+    counted, grams_path = C.written(exploded.groupBy("order", "key", "lang").agg(F.sum("n").alias("n")), "grams")
 
     def sizes(df):
         return df.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect(), {r.order: r.d for r in df.groupBy("order").agg(F.count_distinct("key").alias("d")).collect()}

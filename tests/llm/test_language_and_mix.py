@@ -35,6 +35,18 @@ def test_backoff_goes_to_shorter_grams(spark):
     assert "aaaa" in m.words.index and "aaabb" not in m.words.index
 
 
+def test_long_runs_count_to_their_end(spark):
+    df = spark.createDataFrame([("aaaa bbbb aaab", "x"), ("zzzz yyyy zzzy", "z")] * 3, "text string, lang string")
+    m = langid.train(df)
+    assert langid.classify(["ab" * 250 + "zy" * 5000, "zy" * 250 + "ab" * 5000], m)[0] == ["z", "x"]
+    # no false ends: the mean is that of all grams
+    assert m.score_word("ab" * 1000 + "b") == pytest.approx(m.score_word("ab" * 100_000 + "b"), abs=0.05)
+    runs = spark.createDataFrame([("ab" * 250 + "cd" * 300, "x"), ("zy" * 250 + "wv" * 300, "z")] * 3, "text string, lang string")
+    learned = langid.train(runs)
+    assert langid.classify(["cdcdcd", "wvwvwv"], learned)[0] == ["x", "z"]
+    assert "abcdc" in learned.grams[0].index and "babc" in learned.grams[1].index and "b$" not in learned.grams[3].index
+
+
 def test_mix_equals_sql(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     a = mixing.op8(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
