@@ -125,7 +125,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``, against all other rows.
 
     vectors: vec_id, embedding. ``max_sample`` rows fit the tree and ``max_calibration`` queries calibrate it, both
-    chosen by a hash of vec_id; every row is indexed. Of vectors of several lengths the commonest length takes part
+    chosen by a hash of vec_id; every row is indexed. Neighbours come from the visited leaves alone. Of vectors of several lengths the commonest length takes part
     (the smaller of two). Rows with the query's own vec_id are never its neighbours. No usable vectors: no rows.
     """
     spark = vectors.sparkSession
@@ -139,6 +139,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     sample = C.hashed_share(rows, max_sample, "vec_id").select("vec_id", "v").toArrow()
     sample_ids, sampled = sample.column("vec_id").to_numpy(), _matrix(sample.column("v"))
     tree = KMeansTree.fit(sampled, branch, leaf_size)
+    by_leaf = np.argsort(sampled_leaf := tree.assign(sampled), kind="stable")
+    of_leaf = np.split(by_leaf, np.cumsum(np.bincount(sampled_leaf, minlength=tree.leaves))[:-1])
     shipped = spark.sparkContext.broadcast(tree)
 
     def file(batches):
@@ -173,30 +175,38 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
         place += order[mine.leaf.to_numpy()].tolist()
     most = 1 + int(np.quantile(place, recall, method="higher")) if place else 1
 
-    counts = dict(index.groupBy("leaf").count().toPandas().itertuples(index=False, name=None))  # a row a leaf: bounded by the sample
-    blocks = spark.sparkContext.broadcast({leaf: -(-n // block) for leaf, n in counts.items()})
+    counts = index.groupBy("leaf", "vec_id").count().groupBy("leaf").agg(F.sum("count"), F.count(F.lit(1))).toPandas()  # a row a leaf: bounded by the sample
+    counts = {leaf: (n, ids) for leaf, n, ids in counts.itertuples(index=False, name=None)}
+    blocks = spark.sparkContext.broadcast({leaf: -(-n // block) for leaf, (n, _) in counts.items()})
+    held = spark.sparkContext.broadcast({leaf: ids for leaf, (_, ids) in counts.items()})
 
-    # the k-th distance to the sample's rows bounds that to all rows: what lies beyond isn't passed on
-    near_rows = spark.sparkContext.broadcast((sample_ids, sampled))
+    # the k-th distance to the sample's rows in the visited leaves bounds that to all their rows: what lies beyond isn't passed on
+    near_rows = spark.sparkContext.broadcast((sample_ids, sampled, of_leaf))
 
     def open_(batches):
         for batch in batches:
-            ids, q = batch.column("vec_id").to_numpy(), _matrix(batch.column("v")) if len(batch) else np.zeros((0, 1))
+            ids, q, own = batch.column("vec_id").to_numpy(), _matrix(batch.column("v")) if len(batch) else np.zeros((0, 1)), batch.column("own").to_pylist()
             bound = np.full(len(ids), np.inf)
-            row, _, d = nearest(near_rows.value[0], near_rows.value[1], ids, q, k)
-            full = np.bincount(row, minlength=len(ids)) >= k
-            np.maximum.at(worst := np.zeros(len(ids)), row, d)
-            bound[full] = worst[full]
             leaf, blk, who = [], [], []
             for i, v in enumerate(q):
-                for x in shipped.value.visits(v, most):
+                # as many leaves as were calibrated, and more until they hold k rows besides the query's own
+                visited, wide = shipped.value.visits(v, most), most
+                while sum(held.value.get(x, 0) for x in visited) < k + own[i] and wide < shipped.value.leaves:
+                    visited = shipped.value.visits(v, wide := 2 * wide)
+                sample_ids, sampled, of_leaf = near_rows.value
+                at = np.concatenate([of_leaf[x] for x in visited])
+                _, _, d = nearest(sample_ids[at], sampled[at], ids[i : i + 1], v[None], k) if len(at) else (None, None, [])
+                if len(d) == k:
+                    bound[i] = d[-1]
+                for x in visited:
                     for b in range(blocks.value.get(x, 0)):
                         leaf.append(x)
                         blk.append(b)
                         who.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(blk, pa.int32()), pa.array(ids[who] if who else [], pa.int64()), batch.column("v").take(pa.array(who, pa.int64())), pa.array(bound[who] if who else [], pa.float64())], names=["leaf", "blk", "query_id", "q", "bound"])
 
-    visits = queries.mapInArrow(open_, "leaf int, blk int, query_id long, q array<double>, bound double")
+    asking = queries.join(queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")), "vec_id").select("vec_id", "v", "own")
+    visits = asking.mapInArrow(open_, "leaf int, blk int, query_id long, q array<double>, bound double")
     n = F.create_map(*(F.lit(int(x)) for p in {leaf: b for leaf, b in blocks.value.items() if b > 1}.items() for x in p)) if any(b > 1 for b in blocks.value.values()) else F.lit(None).cast("map<int,int>")
     filed = index.withColumn("blk", F.pmod(F.xxhash64("vec_id", "v"), F.coalesce(F.try_element_at(n, F.col("leaf")), F.lit(1)).cast("long")).cast("int"))
 
@@ -208,15 +218,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
         row, col, d = (x[d <= asking.bound.to_numpy()[row]] for x in (row, col, d))
         return pd.DataFrame({"query_id": qids[row], "vec_id": ids[col], "score": d})
 
-    def seeds(batches):
-        for batch in batches:
-            if len(batch):
-                ids = batch.column("vec_id").to_numpy()
-                row, col, d = nearest(near_rows.value[0], near_rows.value[1], ids, _matrix(batch.column("v")), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near_rows.value[0][col]), pa.array(d)], names=["query_id", "vec_id", "score"])
-
     near = filed.groupBy("leaf", "blk").cogroup(visits.groupBy("leaf", "blk")).applyInPandas(within, "query_id long, vec_id long, score double")
-    near = near.unionByName(queries.mapInArrow(seeds, "query_id long, vec_id long, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

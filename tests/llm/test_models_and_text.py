@@ -41,6 +41,23 @@ def test_recall_and_order(spark, copies):
             assert got[q] == w
 
 
+def test_neighbours_come_from_visited_leaves(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want, found = exact(np.arange(1500), x.astype(float), 50, 10), {}
+    # one leaf is asked for, of fewer rows than neighbours: widened, but not to the whole sample, which here is all rows
+    for recall, least, most in ((0.0, 0.02, 0.8), (0.97, 0.9, 1.0)):
+        got: dict = {}
+        for r in ann.search(df, every=50, recall=recall, leaf_size=8).collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert all(len(got[q]) == 10 for q in want)
+        for q, rows in got.items():
+            assert [s for _, s in rows] == pytest.approx([np.sqrt(((x[v].astype(float) - x[q]) ** 2).sum()) for v, _ in rows])
+        found[recall] = sum(len({a for a, _ in got[q]} & {a for a, _ in w}) for q, w in want.items()) / 300
+        assert least <= found[recall] <= most
+
+
 def test_vector_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [math.nan, 1.0]), (5, [math.inf, 1.0]), (6, [1.0, None]), (7, [1.0, 0.1]), (None, [1.0, 0.0]), (100, [0.5, 0.5]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
