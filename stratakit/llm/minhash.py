@@ -268,9 +268,10 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None
     mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "most", "least")
     open_, open_path = C.written(labelled.join(mixed, "key"), "open")
     # of two members of different components one at least isn't in its bucket's largest: only these ask. One that shares
-    # fewer shingles with all others together than a link with the smallest partner takes has no link
+    # fewer shingles with all others together than a link with the smallest partner takes has no link, neither as asker
+    # nor in a bucket where it is of the largest component and asked: the smallest partner is that of all its buckets
     outside = open_.where("c <> most").withColumnRenamed("rep", "doc_id")
-    askers = outside.groupBy("doc_id").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+    askers = open_.groupBy(F.col("rep").alias("doc_id")).agg(F.first("n").alias("n"), F.min("least").alias("least"), F.bool_or(F.col("c") != F.col("most")).alias("asks")).where("asks").drop("asks")
     shared, within = supported(open_.select(F.col("rep").alias("doc_id"), "c").distinct(), outside.select("doc_id", "most").distinct(), texts, width)
     needed = (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
     judged, judged_path = C.written(askers.join(shared, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) * (100 + percent) >= needed).alias("able")), "judged")

@@ -75,6 +75,19 @@ def test_group_edges(spark, odd, empty):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["1", "3", "4", "5", "6", "7", "8", "9", "10", "None"])
 
 
+def test_one_outside_a_bucket_is_still_found_in_others(spark, monkeypatch):
+    # y shares 88 shingles with x, of a bucket where y is of the largest component, and 2 with w, of one where it isn't;
+    # the hub of both buckets, of one shingle, is like none of them
+    y, own = [f"y{i}" for i in range(100)], [f"w{i}" for i in range(98)]
+    texts = {0: ["hub"], 1000: y[:88], 2000: y, 3000: y[98:] + own}
+    keys = {0: [1, 2], 1000: [1, 3], 2000: [1, 2], 3000: [2, 4]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    signed = spark.createDataFrame([(i, len(t), str(i).encode(), keys[i], [0]) for i, t in texts.items()], "doc_id long, n_shingles int, digest binary, keys array<long>, sketch array<long>")
+    monkeypatch.setattr(minhash, "sign", lambda *_: signed)
+    got = {r.doc_id: r.component_id for r in minhash.groups(df, width=1, percent=85, bands=2, rows=1).collect()}
+    assert got == {0: 0, 1000: 1000, 2000: 1000, 3000: 3000}
+
+
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(3)
     ids = rng.permutation(200)
