@@ -1,7 +1,8 @@
 """Parameterless self-organising maps.
 
-Online training depends on the order of samples, so it runs on one bounded sample, on the driver; assignment of all rows is
-distributed. ``fit_batch`` trains by whole passes of partial sums instead, for any number of rows.
+Online training depends on the order of samples, so all rows are streamed through the driver, a partition at a time, in an
+order by hash that each epoch has anew; assignment of all rows is distributed. ``fit_batch`` trains by whole passes of partial
+sums instead, which more machines shorten.
 """
 
 from __future__ import annotations
@@ -51,7 +52,6 @@ class SelfOrganisingMap:
     seed: int = 42
     distance: str = "euclidean"
     init: str = "sample"  # or kaiming, small
-    max_sample: int = 50_000
     weights: np.ndarray | None = None
     hits: np.ndarray | None = None
     errors: list[float] = field(default_factory=list)
@@ -76,31 +76,33 @@ class SelfOrganisingMap:
         self.std = np.where(std > 0, std, 1.0)
 
     def fit(self, df: DataFrame, features: str = "features", epochs: int = 50) -> SelfOrganisingMap:
-        """Sample by sample, on at most ``max_sample`` rows chosen by a hash of id."""
+        """Row by row, on all rows."""
         self._standardise(df, features)
-        n = df.count()
-        if n > self.max_sample:
-            df = df.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * self.max_sample / n))
-        x = np.array([r[0] for r in df.orderBy("id").select(F.col(features).cast("array<double>")).collect()])
-        x = (x - self.mean) / self.std
-        w = self.initialize_weights(x.min(axis=0), x.max(axis=0))
-        rng, dist = np.random.default_rng(self.seed), NUMPY_DISTANCES[self.distance]
+        rows = df.select("id", F.col(features).cast("array<double>").alias("v"))
+        ends = rows.select(*(f(F.col("v")[i]) for f in (F.min, F.max) for i in range(len(self.mean)))).first()
+        low, high = (np.array(ends, dtype=float).reshape(2, -1) - self.mean) / self.std
+        w, dist = self.initialize_weights(low, high), NUMPY_DISTANCES[self.distance]
         theta = float(self.theta_max or self.width)
         self.hits = np.zeros(len(w), dtype=np.int64)
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
+        for epoch in range(epochs):
             theta = theta * 0.98 if theta > self.theta_min else self.theta_min + 1
-            worst, error = dist(x[order[0]], w).min(), 0.0
-            for i in order[1:]:
-                d = dist(x[i], w)
+            worst, error, n = None, 0.0, 0
+            order = F.xxhash64(F.lit(self.seed), F.lit(epoch), "id")
+            for row in rows.orderBy(order, "id", "v").select("v").toLocalIterator(prefetchPartitions=True):
+                x = (np.array(row[0]) - self.mean) / self.std
+                d = dist(x, w)
                 best = int(d.argmin())
+                if worst is None:
+                    worst = d[best]
+                    continue
                 worst = max(worst, d[best])
                 eps = d[best] / worst if worst > 0 else 0.0
                 reach = max(theta * eps, self.theta_min)
-                w += (eps * np.exp(-(self.lateral[best] ** 2) / reach**2))[:, None] * (x[i] - w)
+                w += (eps * np.exp(-(self.lateral[best] ** 2) / reach**2))[:, None] * (x - w)
                 self.hits[best] += 1
                 error += d[best]
-            self.errors.append(error / max(1, len(x) - 1))
+                n += 1
+            self.errors.append(error / max(1, n))
         self.weights = w
         return self
 

@@ -84,6 +84,12 @@ def test_som(blobs):
     assert som.index_to_grid(som.grid_to_index(2, 3, 5), 5) == (2, 3)
 
 
+def test_som_trains_on_all_rows(spark):
+    df = spark.range(50_400).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("features"))
+    m = som.SelfOrganisingMap(2, 2, seed=1).fit(df, epochs=1)
+    assert m.hits.sum() == 50_399
+
+
 def test_regressions(spark):
     df, meta = generators.generate(spark, "regression", num_samples=400, num_features=3, noise=0.0)
     df = df.select(*(F.col("features")[i].alias(f"x{i}") for i in range(3)), "y")
