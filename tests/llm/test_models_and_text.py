@@ -49,7 +49,7 @@ def test_neighbours_come_from_visited_leaves(spark):
     # one leaf is asked for, of fewer rows than neighbours: widened, but not to the whole sample, which here is all rows
     for recall, least, most in ((0.0, 0.02, 0.8), (0.97, 0.9, 1.0)):
         got: dict = {}
-        for r in ann.search(df, every=50, recall=recall, leaf_size=8).collect():
+        for r in ann.search(df, every=50, recall=recall, leaf_size=8, probe=16).collect():
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert all(len(got[q]) == 10 for q in want)
         for q, rows in got.items():
@@ -72,8 +72,32 @@ def test_best_bins_come_first():
     x = rng.normal(size=(800, 4))
     t = ann.KMeansTree.fit(x, 4, 30)
     leaf = t.assign(x)
-    assert sorted(set(leaf)) == list(range(t.leaves)) and t.visits(x[0], 1) == [leaf[0]]
-    assert sorted(t.visits(x[0], t.leaves)) == list(range(t.leaves))
+    bins = list(t.bins(x[0]))
+    assert sorted(set(leaf)) == list(range(t.leaves)) and bins[0][1] == leaf[0]
+    assert sorted(b for _, b in bins) == list(range(t.leaves)) and bins == sorted(bins, key=lambda b: b[0])
+
+
+@pytest.mark.parametrize("rows", [3000, 24_000])
+def test_recall_of_the_defaults(spark, rows):
+    # below and above the fitting sample
+    rng = np.random.default_rng(rows)
+    x = (rng.normal(size=(200, 16))[rng.integers(0, 200, rows)] + 0.3 * rng.normal(size=(rows, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.op6(df).cache()
+    found: dict = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(np.arange(rows), x.astype(float), 100, 10)
+    recall = sum(len(found[q] & {a for a, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+    assert recall >= 0.9 and abs(ann.measured_recall(df, got) - recall) < 0.05
+    got.unpersist()
+
+
+def test_repeated_vectors_count_once(spark):
+    rows = [(0, [0.0, 1.0])] * 3 + [(1, [0.0, 1.0])] * 40 + [(2, [0.0, 2.0])] * 40 + [(i, [float(i), 1.0]) for i in range(3, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.op6(df).orderBy("rank").collect()]
+    assert got == [(1, 0.0), (2, 1.0)] + [(i, float(i)) for i in range(3, 11)]
 
 
 # language model
