@@ -276,16 +276,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     asking = queries.join(queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")), "vec_id").select("vec_id", "v", "own").distinct()
     visits = asking.mapInArrow(open_, "shelf int, blk int, query_id long, q array<double>, leaves array<int>, bound double")
 
-    def place(batches):
-        on, blocks, _ = layout.value
-        many = np.array(blocks)
-        for batch in batches:
-            shelf = on[batch.column("leaf").to_numpy()]
-            blk = batch.column("h").to_numpy() % many[shelf]
-            yield pa.RecordBatch.from_arrays([pa.array(shelf, pa.int32()), pa.array(blk, pa.int32()), batch.column("leaf"), batch.column("vec_id"), batch.column("v")], names=["shelf", "blk", "leaf", "vec_id", "v"])
-
-    hashed = index.select("leaf", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)).alias("h"))
-    shelved = hashed.mapInArrow(place, "shelf int, blk int, leaf int, vec_id long, v array<double>")
+    shelves = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(tree.leaves, dtype=np.int32), "shelf": on, "blocks": np.array(blocks, dtype=np.int32)[on]}))
+    shelved = index.join(F.broadcast(shelves), "leaf").withColumn("blk", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).drop("blocks")
 
     def within(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
