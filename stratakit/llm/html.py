@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into blocks of text at its block-level tags. Each block is described by its words and link density, by
-those of its neighbours, and by where it stands: inside the page's article, and inside something that its tag, role
-or class marks as no part of one. The tree is grown from a small labelled table of such descriptions.
+A page is cut into flat blocks of text at its block-level tags. Each block is described by its words and link density,
+by those of the two blocks before and the two after it, and by one mark: whether the page itself says that the block
+belongs to its article, that it doesn't, or nothing. The tree is grown from a small labelled table of blocks of real and
+hand-made pages. Each of these pages counts with its marks, without them, and without each run of its boilerplate, so
+that pages which mark nothing are decided by words and links alone.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _common as C
 
@@ -148,56 +151,109 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "noise")
-
-#: Labelled blocks. words, link density, the same of the block before and after, place (1 inside the
-#: page's article, -1 outside it, 0 on a page without one), marked as noise; 1 for main text.
-LABELLED = (
-    (7, 0.0, 5, 0.0, 20, 0.0, 1, 0, 1), (1, 0.0, 30, 0.0, 40, 0.0, 1, 0, 1), (120, 0.02, 60, 0.0, 80, 0.0, 1, 0, 1), (3, 0.0, 0, 0.0, 90, 0.1, 1, 0, 1),
-    (45, 0.1, 1, 0.0, 2, 0.0, 1, 0, 1), (2, 0.0, 25, 0.0, 6, 0.0, 1, 0, 1), (300, 0.0, 10, 0.0, 0, 0.0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1),
-    (12, 0.4, 50, 0.0, 60, 0.0, 1, 0, 1), (5, 1.0, 40, 0.0, 50, 0.0, 1, 0, 1), (10, 0.0, 4, 0.0, 8, 0.0, 1, 0, 1), (60, 0.6, 70, 0.1, 60, 0.0, 1, 0, 1),
-    (50, 0.0, 40, 0.0, 3, 1.0, 1, 0, 1), (10, 0.0, 50, 0.0, 2, 1.0, 1, 0, 1), (30, 0.0, 2, 1.0, 5, 1.0, 1, 0, 1), (2, 0.0, 40, 0.0, 3, 1.0, 1, 0, 1),
-    (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 1), (26, 0.1, 9, 0.0, 4, 0.6, 1, 0, 1), (7, 0.0, 5, 0.0, 4, 0.5, 1, 0, 1), (88, 0.2, 9, 0.0, 30, 0.5, 1, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (4, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0), (3, 1.0, 4, 1.0, 80, 0.0, 1, 0, 0), (6, 1.0, 90, 0.0, 5, 1.0, 1, 0, 0),
-    (30, 0.0, 20, 0.0, 25, 0.0, 1, 1, 0), (5, 0.0, 40, 0.0, 60, 0.0, 1, 1, 0), (80, 0.0, 90, 0.0, 40, 0.0, 1, 1, 0), (2, 1.0, 2, 1.0, 2, 1.0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0), (9, 0.0, 1, 1.0, 7, 0.0, -1, 1, 0), (14, 0.0, 60, 0.0, 0, 0.0, -1, 1, 0), (60, 0.1, 4, 0.0, 9, 0.0, -1, 1, 0),
-    (2, 1.0, 2, 1.0, 3, 1.0, -1, 0, 0), (10, 0.0, 40, 0.0, 8, 0.0, -1, 0, 0), (50, 0.0, 12, 0.0, 30, 0.0, -1, 0, 0), (25, 0.2, 3, 0.0, 4, 0.5, -1, 0, 0),
-    (1, 0.0, 0, 0.0, 2, 1.0, -1, 0, 0), (120, 0.0, 5, 0.0, 10, 0.0, -1, 0, 0),
-    (200, 0.0, 5, 0.0, 3, 1.0, -1, 0, 0), (40, 0.0, 6, 0.0, 2, 1.0, -1, 0, 0), (6, 0.0, 60, 0.0, 70, 0.0, -1, 0, 0), (100, 0.1, 70, 0.0, 90, 0.2, -1, 0, 0),
-    (60, 0.0, 40, 0.0, 3, 1.0, 0, 0, 1), (20, 0.0, 40, 0.0, 2, 1.0, 0, 0, 1), (90, 0.1, 2, 1.0, 3, 0.6, 0, 0, 1), (14, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1),
-    (60, 0.0, 40, 0.0, 70, 0.0, 0, 0, 1), (25, 0.1, 6, 0.0, 50, 0.0, 0, 0, 1), (12, 0.0, 80, 0.0, 30, 0.0, 0, 0, 1), (2, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1),
-    (6, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1), (150, 0.2, 2, 1.0, 3, 1.0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (15, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1),
-    (18, 0.0, 6, 0.0, 16, 0.0, 0, 0, 1), (3, 0.0, 35, 0.0, 20, 0.0, 0, 0, 1), (9, 0.0, 22, 0.0, 25, 0.0, 0, 0, 1), (1, 0.0, 18, 0.0, 40, 0.0, 0, 0, 1),
-    (2, 1.0, 42, 0.0, 2, 1.0, 0, 0, 0), (3, 1.0, 35, 0.0, 4, 1.0, 0, 0, 0), (2, 1.0, 45, 0.0, 1, 1.0, 1, 0, 0), (2, 1.0, 38, 0.0, 0, 0.0, 0, 0, 0),
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (20, 0.9, 5, 1.0, 6, 1.0, 0, 0, 0), (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (4, 0.5, 3, 0.0, 2, 1.0, 0, 0, 0),
-    (30, 0.7, 20, 0.8, 25, 0.9, 0, 0, 0), (3, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0), (1, 1.0, 1, 1.0, 50, 0.0, 0, 0, 0), (3, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0),
-    (50, 0.0, 30, 0.0, 40, 0.0, 0, 1, 0), (8, 0.0, 60, 0.0, 3, 0.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (15, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0),
-)
-
-
-def grow(rows: np.ndarray, labels: np.ndarray):
-    """A tree of (feature, threshold, at most, above), or a label, by least Gini impurity until leaves are pure."""
-    if len(set(labels.tolist())) == 1:
-        return int(labels[0])
+REACH = 2
+FEATURES = (*(f"{what}{d:+d}" for d in range(-REACH, REACH + 1) for what in ("words", "links")), "mark")
+
+#: The labelled table, a page a line, a block an entry. Words, ~ and words in links if there are any; a: inside
+#: what the page calls its article, n: inside what it marks as no part of one; !: not main text. Pages from the 12th on
+#: are hand-made; those after the gap have readers' comments or adverts in prose, which only marks tell from an article.
+LABELLED = """
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 8n! 10a 51a 8a 11a 36a 32a 52a 25n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 8n! 9a 12a 9a 39a 8a 20a 8a 8n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 5n! 2a 2a 11n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 8n! 11a 17a 143a 31a 189a 43a 51a 22a 11n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 8n! 8a 8a 45a 1a 30a 37a 47a 2a 1a 15a 3a 8a 14n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 9n! 7a 968a 9a 7n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 4n! 6a 6a 10a 15n!
+1~1n! 1~1n! 1~1n! 1~1n! 12n! 11a 149a 46a 1a 76a 9n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 6n! 8a 12a 8a 3a 38a 36a 28a 6a 25a 32a 13n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 10n! 4a 4a 47a 75a 43a 95a 11a 49a 178a 10n!
+1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 1~1n! 7n! 5a 5a 15n!
+2~2! 1~1! 2~2! 1~1! 9 41 66~3 38 71 2~2! 55 4 60~8 48 3~3! 5~5! 4~4! 2~2! 2~2!
+3~3! 3~3! 2~2! 6 30 30 2 30 2~2! 1~1!
+2 1 1 3 12 9 14 7 80 3 46
+7a 64a 12~5a 5~5a 44a 3~3a! 2~2a! 4~4a! 2~2a! 6~6a!
+5 90 1~1 70 38~20 52 4~4! 6~6! 9~9! 3~3! 8n!
+6a
+2a 7a
+10
+9a 30a 4a
+1~1! 1~1! 25~22! 18~16! 21~20! 30~27! 16~15! 1~1!
+120 40 7 15
+8a 35a 2~2a! 38a 3~3a! 44a 9a 50a 1~1a! 1~1a!
+
+5n! 9n! 3~3n! 2~2n! 10a 45a 88~4a 4a 52a 3n! 30n! 25n! 61n! 4~4n! 12n!
+6a 70a 40a 5n! 15n! 33a 58a 2n! 44n! 1~1n! 27n! 7n!
+12! 3~3n! 9a 55a 5~5a 62a 20n! 41! 60! 8n!
+3n! 2a 1a 1a 7a 9~9n! 4a 18n!
+"""
+
+
+#: How often a page counts with its marks, for once without them.
+MARKED = 2
+
+
+@dataclass
+class Labelled:
+    words: int
+    linked: int
+    mark: int
+    main: bool
+
+
+def described(sizes: list[tuple[int, int]], marks: list[int]) -> list[tuple]:
+    """A row of FEATURES for each block; beyond a page's ends 0 words and density -1."""
+    flat = [x for words, linked in sizes for x in (words, min(1.0, linked / max(1, words)))]
+    flat = [0, -1.0] * REACH + flat + [0, -1.0] * REACH
+    return [(*flat[2 * i : 2 * i + 4 * REACH + 2], mark) for i, mark in enumerate(marks)]
+
+
+def labelled_rows(table: str = LABELLED) -> list[tuple]:
+    """Rows of FEATURES and a label, 1 for main text."""
+    rows = []
+    for part, lines in enumerate(table.strip().split("\n\n")):
+        for line in lines.splitlines():
+            page = []
+            for words, linked, mark, other in re.findall(r"(\d+)(?:~(\d+))?([an]?)(!?)", line):
+                page.append(Labelled(int(words), int(linked or 0), {"a": 1, "n": -1, "": 0}[mark], not other))
+            if any(b.mark > 0 for b in page):
+                page = [Labelled(b.words, b.linked, b.mark or -1, b.main) for b in page]
+            kinds = [0 if b.main else 1 + bool(b.linked) for b in page]
+            runs = [i + (kinds[i] == 0) * 1000 for i in range(len(page)) if i == 0 or kinds[i] != kinds[i - 1]]
+            ends = [*(r % 1000 for r in runs[1:]), len(page)]
+            versions = [page, *(page[:a] + page[b:] for a, b in zip(runs, ends, strict=True) if a < 1000)]
+            for blocks_ in versions:
+                sizes, main = [(b.words, b.linked) for b in blocks_], [int(b.main) for b in blocks_]
+                rows += [(*r, y) for r, y in zip(described(sizes, [b.mark for b in blocks_]), main, strict=True)] * MARKED
+                if not part:
+                    rows += [(*r, y) for r, y in zip(described(sizes, [0] * len(main)), main, strict=True)]
+    return rows
+
+
+def grow(rows: np.ndarray, labels: np.ndarray, least: int = 8):
+    """A tree of (feature, threshold, at most, above), or a label: splits of least Gini impurity, both sides ``least`` rows or
+    more, until leaves are pure."""
     best = None
-    for f in range(rows.shape[1]):
+    for f in range(rows.shape[1]) if 0 < labels.sum() < len(labels) else ():
         values = np.unique(rows[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
-            left = labels[rows[:, f] <= cut]
-            right = labels[rows[:, f] > cut]
-            impurity = sum(len(x) * (1 - np.mean(x) ** 2 - np.mean(1 - x) ** 2) for x in (left, right))
+            low = rows[:, f] <= cut
+            if min(low.sum(), (~low).sum()) < least:
+                continue
+            impurity = sum(len(x) * (1 - np.mean(x) ** 2 - np.mean(1 - x) ** 2) for x in (labels[low], labels[~low]))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, float(cut))
     if best is None:
-        return int(round(labels.mean()))
+        return int(labels.mean() >= 0.5) if len(labels) else 1
     _, f, cut = best
     low = rows[:, f] <= cut
-    return f, cut, grow(rows[low], labels[low]), grow(rows[~low], labels[~low])
+    return f, cut, grow(rows[low], labels[low], least), grow(rows[~low], labels[~low], least)
 
 
-def labelled_tree():
-    table = np.array(LABELLED)
-    return grow(table[:, :-1], table[:, -1].astype(int))
+def labelled_tree(least: int = 8):
+    """The tree of the labelled table."""
+    table = np.array(labelled_rows())
+    return grow(table[:, :-1], table[:, -1].astype(int), least)
 
 
 def decide(tree, row) -> int:
@@ -206,36 +262,34 @@ def decide(tree, row) -> int:
     return tree
 
 
-def main_text(html: str | None, tree) -> str:
+def main_text(html: str | None, tree, marked: bool = True) -> str:
+    """The blocks of main text; not ``marked``: as if the page marked nothing, by words and links alone."""
     found = blocks(html) if html else []
     article = any(b.inside for b in found)
-    size = [(b.words, min(1.0, b.linked / max(1, b.words))) for b in found]
-    keep = []
-    for i, b in enumerate(found):
-        before, after = size[i - 1] if i else (0, 0.0), size[i + 1] if i + 1 < len(size) else (0, 0.0)
-        row = (*size[i], *before, *after, (1 if b.inside else -1) if article else 0, int(b.noise))
-        if decide(tree, row):
-            keep.append(b.text)
-    return "\n\n".join(keep)
+    marks = [0] * len(found) if not marked else [-1 if b.noise or article and not b.inside else int(b.inside) for b in found]
+    rows = described([(b.words, b.linked) for b in found], marks)
+    return "\n\n".join(b.text for b, row in zip(found, rows, strict=True) if decide(tree, row))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` of pages (of them html), with text and n_chars.
 
-    Null or empty html, and pages without main text, give the empty text. Every row gets one row. Markup that is cut
-    off or not closed is read as far as it goes.
+    Null or empty html, and pages without main text, give the empty text. Every row gets one row, repeated rows too; an
+    empty table gives none. Kept columns of the names text and n_chars are replaced. Markup that is cut off or not closed is
+    read as far as it goes. A block on which no leaf of the tree is of one mind goes with the leaf's majority, ties to main.
     """
     C.batches(pages.sparkSession)
-    keep = list(keep)
-    rows = pages.select(*(f"`{k}`" for k in keep), pages["html"].cast("string").alias("__html"))
+    keep = [k for k in keep if k.lower() not in ("text", "n_chars")]
+    rows = pages.select(*(pages[f"`{k}`"].alias(f"__keep{i}") for i, k in enumerate(keep)), pages["html"].cast("string").alias("__html"))
     tree = labelled_tree()
 
     def run(batches):
         for batch in batches:
             texts = [main_text(h, tree) for h in batch.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
-    return rows.mapInArrow(run, C.ddl(pages.select(*(f"`{k}`" for k in keep))) + ", text string, n_chars long")
+    found = rows.mapInArrow(run, ", ".join([*(f"__keep{i} {pages.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "text string, n_chars long"]))
+    return found.select(*(F.col(f"__keep{i}").alias(k) for i, k in enumerate(keep)), "text", "n_chars")
 
 
 def op10(pages: DataFrame) -> DataFrame:
