@@ -105,6 +105,24 @@ def hashed_share(df: DataFrame, keep: int, *cols: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) < int((1 << 30) * keep / total))
 
 
+def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, size: int, counts: DataFrame, how: str = "inner", parts: int = 1 << 13) -> DataFrame:
+    """``left`` joined with ``right``, which has a row a key, so that no task gets all rows of a frequent key.
+
+    counts: the keys, n (about how many rows of ``left`` have it); size: about how many rows ``left`` has. A key with
+    more than a ``parts``-th of these is dealt out in pieces by a hash of ``by``, each with its own copy of the row of
+    ``right``. There are at most ``parts`` such keys, and twice as many pieces: that is what is broadcast and copied.
+    """
+    spark = left.sparkSession
+    most = max(1, -(-size // parts))
+    often = counts.where(F.col("n") > 2 * most).select(*keys, F.least(F.ceil(F.col("n") / most), F.lit(parts)).cast("int").alias("__pieces")).collect()
+    if not often:
+        return left.join(right, keys, how)
+    pieces = F.broadcast(spark.createDataFrame(often, counts.select(*keys, F.lit(1).alias("__pieces")).schema))
+    dealt = left.join(pieces, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(by), F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces")
+    copied = right.join(pieces, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    return dealt.join(copied, [*keys, "__piece"], how).drop("__piece")
+
+
 def grouped(frames: Iterator, weight, least: int) -> Iterator[list]:
     """Runs of frames with a summed weight of ``least`` or more; the last may be lighter."""
     held, heavy = [], 0

@@ -137,16 +137,18 @@ def ragged(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union, on full sets; texts: doc_id, text."""
+    """The pairs (a, b; a written table) of which 100 * intersection >= percent * union, on full sets; texts: doc_id,
+    text, a row an id."""
     C.batches(pairs.sparkSession, 256, 8)
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    joined = C.spread(joined, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), ["a"], "b", pairs.count(), pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))).select("a", "b", "ta", "tb")
 
     def run(batches):
         hashes, sets = C.held("hashes", _Hashes), OrderedDict()
 
         def of(doc_id, text):
-            if (found := sets.get((doc_id, len(text)))) is None:
-                found = sets[doc_id, len(text)] = shingle_set(text, width, hashes)
+            if (found := sets.get(doc_id)) is None:
+                found = sets[doc_id] = shingle_set(text, width, hashes)
                 if len(sets) > 64:
                     sets.popitem(last=False)
             return found
@@ -163,28 +165,34 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v. Every node of an edge with the smallest node that it reaches: node, component.
+    """edges: u, v. Every node of an edge but the smallest of its component, with that: node, component. A written table.
 
-    Large-star and small-star steps in turn until the edges form stars; each step's edges are a written table.
+    Large-star and small-star steps in turn until the edges form stars; each step's edges are a written table. The edges
+    of a node with many are dealt out in pieces, each with the node's least neighbour.
     """
     spark = edges.sparkSession
-    oriented = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, path = C.written(oriented, "edges")
+
+    def to_least(now, size):
+        """u, v, m: the least of v over the edges of u; each edge once."""
+        least, path = C.written(now.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        return C.spread(now, least.select("u", "m"), ["u"], "v", size, least.select("u", "n")), path
+
+    now, path = C.written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         # stars: no node is both an end and a centre, and every end has one edge
         ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        open_ = ends.join(now.select(F.col("v").alias("u"), F.lit(True).alias("centre")), "u", "left").where("n > 1 or centre")
-        if not open_.take(1):
+        centres = now.select(F.col("v").alias("u")).distinct().withColumn("centre", F.lit(True))
+        if not ends.join(centres, "u", "left").where("n > 1 or centre").take(1):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        size = now.count()
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large, least = to_least(both, 2 * size)
+        large, large_path = C.written(large.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges")
+        small, least_small = to_least(large, large.count())
         new = small.select("u", F.col("m").alias("v")).union(small.select("v", "m")).where("u <> v").distinct()
         old = path
         now, path = C.written(new, "edges")
-        C.remove(spark, old)
+        C.remove(spark, old, least, large_path, least_small)
 
 
 def only(texts: DataFrame, ids: DataFrame, places: int = 1 << 18) -> DataFrame:
@@ -211,13 +219,17 @@ def supported(pool: DataFrame, asked: DataFrame, texts: DataFrame, width: int) -
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat)], names=["doc_id", "shingle"])
 
     rows, path = C.written(only(texts, pool.select("doc_id"), 1 << 18).select("doc_id", "text").mapInArrow(shingles, "doc_id long, shingle long"), "shingles")
-    cells = rows.join(pool, "doc_id").groupBy("c", "shingle").agg(F.count(F.lit(1)).alias("n"))
-    common = cells.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").select("shingle")
+    cells, cells_path = C.written(rows.join(pool, "doc_id").groupBy("c", "shingle").agg(F.count(F.lit(1)).alias("n")), "cells")
+    common, common_path = C.written(cells.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "common")
+    size = rows.count()
     mine = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    shared, shared_path = C.written(mine.join(common, "shingle", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared")), "shared")
-    own = rows.join(asked, "doc_id").join(cells.select(F.col("c").alias("most"), "shingle"), ["most", "shingle"], "left_semi")
+    mine = C.spread(mine, common.select("shingle"), ["shingle"], "doc_id", size, common)
+    shared, shared_path = C.written(mine.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared")), "shared")
+    own, own_path = C.written(rows.join(asked, "doc_id"), "own")
+    often = own.groupBy("most", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    own = C.spread(own, cells.select(F.col("c").alias("most"), "shingle"), ["most", "shingle"], "doc_id", own.count(), often)
     within, within_path = C.written(own.groupBy("doc_id", "most").agg(F.count(F.lit(1)).alias("within")), "within")
-    C.remove(rows.sparkSession, path)
+    C.remove(rows.sparkSession, path, cells_path, common_path, own_path)
     return shared, within
 
 
@@ -225,48 +237,74 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None
     """docs: doc_id, text. A row for each: doc_id, n_shingles, component_id, kept.
 
     Texts without words, and null texts, have an empty set and are linked with nothing. Rows with one doc_id are one
-    document, linked by any of their texts. A null doc_id is linked with nothing: its component_id is null and it is
-    kept. Unless given, bands and rows are 44 and 8 from 85 % on, 40 and 7 below: a pair at 85 % is missed with a chance
-    under 1e-6, at 80 % under 1e-4.
+    document, linked by any of their texts; each row has the size of its own text's set. A null doc_id is linked with
+    nothing: its component_id is null and it is kept. An empty table gives no rows. Unless given, bands and rows are 44
+    and 8 from 85 % on, 40 and 7 below: a pair at 85 % is missed with a chance under 1e-6, at 80 % under 1e-4.
     """
     spark = docs.sparkSession
     bands, rows = bands or (44 if percent >= 85 else 40), rows or (8 if percent >= 85 else 7)
     docs = C.pick(docs, doc_id="long", text="string")
-    signed, _ = C.written(sign(docs, width, bands, rows), "signed")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        return _groups(docs, width, percent, bands, rows)
+    # repeated ids: each row is a node of its own; afterwards the components that share an id are one
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    numbered, path = C.written(docs.withColumn("node", number), "numbered")
+    found = _groups(numbered.select(F.col("node").alias("doc_id"), "text"), width, percent, bands, rows)
+    found = numbered.select("node", "doc_id").join(found.where("doc_id is not null").select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("part")), "node")
+    found, found_path = C.written(found, "found")
+    parts, parts_path = C.written(found.groupBy("part").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "parts")
+    held, held_path = C.written(found.select("doc_id", "part").distinct(), "held")
+    ids, ids_path = C.written(held.groupBy("doc_id").agg(F.min("part").alias("first"), F.count(F.lit(1)).alias("n")), "ids")
+    linked = C.spread(held, ids.select("doc_id", "first"), ["doc_id"], "part", held.count(), ids.select("doc_id", "n"))
+    stars = components(linked.select(F.col("part").alias("u"), F.col("first").alias("v")))
+    rooted, rooted_path = C.written(parts.join(stars.withColumnRenamed("node", "part"), "part", "left").select("part", "n", "low", F.coalesce("component", "part").alias("root")), "rooted")
+    lows, lows_path = C.written(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("m")), "lows")
+    ends = C.spread(rooted, lows.select("root", "component_id"), ["root"], "part", rooted.count(), lows.select("root", F.col("m").alias("n")))
+    out = C.spread(found, ends.select("part", "component_id"), ["part"], "node", found.count(), parts.select("part", "n"))
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    nulls = sign(numbered.where("doc_id is null").select("doc_id", "text"), width, bands, rows)
+    out, _ = C.written(out.union(nulls.select("doc_id", "n_shingles", F.col("doc_id"), F.lit(True))), "groups")
+    C.remove(spark, path, found_path, parts_path, held_path, ids_path, rooted_path, lows_path)
+    return out
+
+
+def _groups(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """As ``groups``, of documents with an id each."""
+    spark = docs.sparkSession
+    signed, signed_path = C.written(sign(docs, width, bands, rows), "signed")
     known = signed.where("digest is not null and doc_id is not null")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes, classes_path = C.written(classes, "classes")
-    copies = known.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    sets, sets_path = C.written(known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "keys", "sketch"), "sets")
+    # a class is one set; equal sets are brought together before they are dealt out
+    least = known.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "sketch")).alias("s"), F.count(F.lit(1)).alias("copies"))
+    sets, sets_path = C.written(least.select("digest", "copies", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.keys", "s.sketch"), "sets")
     buckets = sets.select("rep", "n", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("hub.rep < last").select("key", "hub")
-    members, members_path = C.written(buckets.join(hubs, "key").where("rep <> hub.rep"), "members")
+    hubs, hubs_path = C.written(buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("in_it")).where("in_it > 1"), "hubs")
+    members = C.spread(buckets, hubs.select("key", "hub"), ["key"], "rep", sets.count() * bands, hubs.select("key", F.col("in_it").alias("n")))
+    members, members_path = C.written(members.where("rep <> hub.rep").select("key", "rep", "n", "hub"), "members")
 
     def near(n, m):
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
     most = most_differing(percent, bands * rows)
     sketches = sets.select("rep", "sketch")
-    pairs = members.where(near(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+    proposed, proposed_path = C.written(members.where(near(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "proposed")
+    pairs = proposed.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    pairs = C.spread(pairs, sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), ["a"], "b", proposed.count(), proposed.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     tried, tried_path = C.written(pairs.where(differing(F.col("sa"), F.col("sb")) <= most).select("a", "b"), "pairs")
-    repeated = signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1)
     texts = docs.where("doc_id is not null and text is not null")
-    if repeated:
-        texts = texts.groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.first("text").alias("text")).select("doc_id", "text")
 
     def decided(pairs):
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         return verify(pairs, only(texts, wanted), width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    links, links_path = C.written(copies.union(decided(tried)), "links")
-    stars = components(links)
+    stars = components(decided(tried))
 
     # what the hubs leave open: buckets with members of several components
-    labelled = members.select("key", "rep", "n").join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    labelled, labelled_path = C.written(members.select("key", "rep", "n").join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "labelled")
     parts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "most", "least")
-    open_, open_path = C.written(labelled.join(mixed, "key"), "open")
+    mixed = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("k").alias("in_it")).where("lo < hi").select("key", "most", "least", "in_it")
+    mixed, mixed_path = C.written(mixed, "mixed")
+    open_ = C.spread(labelled, mixed.select("key", "most", "least"), ["key"], "rep", labelled.count(), mixed.select("key", F.col("in_it").alias("n")))
+    open_, open_path = C.written(open_, "open")
     # of two members of different components one at least isn't in its bucket's largest: only these ask. One that shares
     # fewer shingles with all others together than a link with the smallest partner takes has no link, neither as asker
     # nor in a bucket where it is of the largest component and asked: the smallest partner is that of all its buckets
@@ -275,7 +313,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None
     shared, within = supported(open_.select(F.col("rep").alias("doc_id"), "c").distinct(), outside.select("doc_id", "most").distinct(), texts, width)
     needed = (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))) * percent
     judged, judged_path = C.written(askers.join(shared, "doc_id", "left").select(F.col("doc_id").alias("rep"), F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) * (100 + percent) >= needed).alias("able")), "judged")
-    left = open_.join(judged, "rep", "left").where("able is null or able").withColumn("shared", F.coalesce("shared", "n")).join(sets.select("rep", "keys", "sketch").dropDuplicates(["rep"]), "rep")
+    left = open_.join(judged, "rep", "left").where("able is null or able").withColumn("shared", F.coalesce("shared", "n")).join(sets.select("rep", "keys", "sketch"), "rep")
     left = left.join(within.withColumnRenamed("doc_id", "rep"), ["rep", "most"], "left")
     x = left.where("c <> most").select("key", F.coalesce("within", F.lit(0)).alias("wa"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("keys").alias("ka"), F.col("sketch").alias("sa"), F.col("shared").alias("ma"))
     y = left.select(F.col("key").alias("at"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("keys").alias("kb"), F.col("sketch").alias("sb"), F.col("shared").alias("mb"), (F.col("c") == F.col("most")).alias("still"))
@@ -286,10 +324,14 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None
     pairs, pairs_path = C.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     if pairs.take(1):
         stars = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(decided(pairs)))
-    C.remove(spark, open_path, judged_path, pairs_path, tried_path, classes_path, members_path, sets_path, links_path)
-    found = signed.select("doc_id", "n_shingles").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # copies take their class's component
+    ends = sets.select("digest", "copies", "rep").join(stars.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
+    ends, ends_path = C.written(ends, "ends")
+    rows_ = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    found = C.spread(rows_, ends.select("digest", "component_id"), ["digest"], "doc_id", signed.count(), ends.select("digest", F.col("copies").alias("n")), "left")
+    found, _ = C.written(found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "groups")
+    C.remove(spark, open_path, judged_path, pairs_path, tried_path, members_path, sets_path, hubs_path, proposed_path, labelled_path, mixed_path, signed_path, ends_path)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -298,11 +340,14 @@ def op2(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, with its own columns: the one with the smallest doc_id. Of rows with one doc_id the
-    one whose text comes first stays; rows with a null doc_id all stay."""
+    one whose text comes first stays (nulls last; among equal texts that with the least hash of the row). Rows with a
+    null doc_id all stay, and so does every document without words whose id is its own. An empty table stays empty."""
     found = groups(docs)
     dropped = found.where("not kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
         return left
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("__turn", turn).where("__turn = 1 or doc_id is null").drop("__turn")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    hashed = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns))
+    first = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"), hashed)).alias("row"))
+    return first.select("row.*").unionByName(left.where("doc_id is null"))

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from stratakit.llm import _common as C
 from stratakit.llm import decontam, minhash
 
 
@@ -62,6 +63,43 @@ def test_groups_equal_brute_force(spark, seed, width, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+def brute_rows(rows, width, percent):
+    """As brute_groups, of rows with repeated ids: rows of one id are linked."""
+    nodes = brute_groups([(i, t) for i, (_, t) in enumerate(rows)], width, percent)
+    top = {d: d for d, _ in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, (_, part, _) in nodes.items():
+        x, y = find(rows[i][0]), find(rows[part][0])
+        top[max(x, y)] = min(x, y)
+    return sorted((d, nodes[i][0], find(d), find(d) == d) for i, (d, _) in enumerate(rows))
+
+
+def test_repeated_ids_equal_brute_force(spark):
+    # one id with two texts, of equal and of unequal length, each with near copies under other ids
+    a, b = [f"a{i:02d}" for i in range(60)], [f"b{i:02d}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(a[:59] + ["x00"])), (7, " ".join(["x01"] + a[1:])), (6, " ".join(b[:59] + ["x00"])), (8, " ".join(["x01"] + b[1:]))]
+    assert [r[2] for r in brute_rows(rows, 3, 85)] == [1] * 6
+    mixed = [(d % 90, t) for d, t in corpus(5)]  # many ids twice, with unlike texts
+    for some in (rows, [*rows, (1, " ".join([*b, "longer"]))], mixed):
+        got = minhash.op2(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_rows(some, 3, 85)
+
+
+def test_frequent_keys_are_dealt_out(spark):
+    left = spark.createDataFrame([(1 if i % 3 else None if i % 5 == 0 else i, i) for i in range(600)], "k long, x long")
+    right = spark.createDataFrame([(i, i * 2) for i in range(0, 600, 2)] + [(1, 7)], "k long, y long")
+    for how in ("inner", "left"):
+        out = C.spread(left, right, ["k"], "x", 600, left.groupBy("k").count().withColumnRenamed("count", "n"), how, parts=16)
+        assert sorted(map(tuple, out.select("k", "x", "y").collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).select("k", "x", "y").collect()), key=str)
+    pieces = C.spread(left, right, ["k"], "x", 600, left.groupBy("k").count().withColumnRenamed("count", "n"), parts=16)
+    assert "__piece" in pieces._jdf.queryExecution().toString()
+
+
 def test_group_edges(spark, odd, empty):
     got = minhash.op2(odd).collect()
     assert len(got) == odd.count()
