@@ -29,6 +29,14 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it is a plain scan of fewer pieces than there are cores: a small file is one."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     """Bounds an Arrow batch by rows and bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

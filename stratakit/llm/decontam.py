@@ -240,7 +240,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
                 names.append(f"{prefix}spans")
             yield from pa.table(columns, names=names).to_batches()
 
-    return rows.mapInArrow(run, schema + f", `{prefix}spans` {span}" * spans)
+    return C.dealt(rows).mapInArrow(run, schema + f", `{prefix}spans` {span}" * spans)
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -288,7 +288,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
             texts = [main_text(h, tree) for h in batch.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
-    found = rows.mapInArrow(run, ", ".join([*(f"__keep{i} {pages.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "text string, n_chars long"]))
+    found = C.dealt(rows).mapInArrow(run, ", ".join([*(f"__keep{i} {pages.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "text string, n_chars long"]))
     return found.select(*(F.col(f"__keep{i}").alias(k) for i, k in enumerate(keep)), "text", "n_chars")
 
 

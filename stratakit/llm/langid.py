@@ -95,7 +95,7 @@ def train(docs: DataFrame, max_docs: int = 4000, least: int = 3, max_words: int
                                 seen[lang, order, padded[i : i + order]] += n
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "order", "key", "n"])
 
-    found, words_path = C.written(sample.mapInPandas(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "words")
+    found, words_path = C.written(C.dealt(sample).mapInPandas(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "words")
     words = found.where("order = 0").drop("order")
     model = LanguageModel([])
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
@@ -168,7 +168,7 @@ def _annotated(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFr
             langs, values = classify(batch.column("text").to_pylist(), shipped.value, scores)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(values, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, C.ddl(docs.select(*(f"`{k}`" for k in keep))) + ", lang_pred string, score double")
+    return C.dealt(docs).mapInArrow(run, C.ddl(docs.select(*(f"`{k}`" for k in keep))) + ", lang_pred string, score double")
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -206,4 +206,4 @@ def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
             langs, values = classify(batch.column("text").to_pylist(), shipped.value, scores)
             yield batch.filter(pa.array([a != UNDETERMINED and v >= min_score for a, v in zip(langs, values, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.dealt(docs).mapInArrow(run, docs.schema)

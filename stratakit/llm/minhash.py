@@ -128,7 +128,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     sketches.append(np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), ragged(keys), ragged(sketches)], names=["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
+    return C.dealt(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>")
 
 
 def ragged(parts: list[np.ndarray]) -> pa.ListArray:

@@ -174,7 +174,7 @@ def count(docs: DataFrame, path: str, limit: int = 1024, keep: tuple[str, ...] =
             sizes = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes), pa.array(n), pa.array(n > limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.mapInArrow(run, C.ddl(docs.select(*(f"`{k}`" for k in keep))) + ", n_bytes long, n_tokens long, over_limit boolean")
+    return C.dealt(docs).mapInArrow(run, C.ddl(docs.select(*(f"`{k}`" for k in keep))) + ", n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4(docs: DataFrame, path: str) -> DataFrame:

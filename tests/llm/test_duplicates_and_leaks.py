@@ -84,10 +84,11 @@ def test_repeated_ids_equal_brute_force(spark):
     a, b = [f"a{i:02d}" for i in range(60)], [f"b{i:02d}" for i in range(60)]
     rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join(a[:59] + ["x00"])), (7, " ".join(["x01"] + a[1:])), (6, " ".join(b[:59] + ["x00"])), (8, " ".join(["x01"] + b[1:]))]
     assert [r[2] for r in brute_rows(rows, 3, 85)] == [1] * 6
-    mixed = [(d % 90, t) for d, t in corpus(5)]  # many ids twice, with unlike texts
-    for some in (rows, [*rows, (1, " ".join([*b, "longer"]))], mixed):
-        got = minhash.op2(spark.createDataFrame(some, "doc_id long, text string")).collect()
-        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_rows(some, 3, 85)
+    longer = [(d + 200, t + " longer" * (d == 1 and t[0] == "b")) for d, t in rows]
+    mixed = [(d % 90 + 300, t) for d, t in corpus(5)]  # many ids twice, with unlike texts
+    some = [*rows, *longer, *mixed]
+    got = minhash.op2(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_rows(some, 3, 85)
 
 
 def test_frequent_keys_are_dealt_out(spark):
