@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -192,6 +193,41 @@ def test_longest_matches_and_their_places(spark):
     assert got[2].spans == [] and not got[2].contaminated
 
 
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(4)
+    items = [("i%d" % i, [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.choice([2, 5, 9, 30]))], 0) for i in range(8)]
+    tests = decontam.TestBlock.build(items, 4)
+    docs = [[rng.choice([b"a", b"b", b"c", b"z"]) for _ in range(rng.randint(0, 60))] + items[i % 8][1] for i in range(30)]
+    found = decontam.search_shard([np.array([tests.vocabulary.get(w, 0) for w in d], dtype=np.int32) for d in docs], tests)
+    mine = {(d, s): (n, item, at) for d, s, n, item, at in found.spans.tolist()}
+
+    def agree(d, s, words, at):
+        n = 0
+        while s + n < len(d) and at + n < len(words) and d[s + n] == words[at + n]:
+            n += 1
+        return n
+
+    for i, d in enumerate(docs):
+        best = []
+        for s in range(len(d)):
+            reach = [agree(d, s, words, at) if agree(d, s, words, at) >= min(4, len(words)) else 0 for _, words, _ in items for at in range(len(words))]
+            best.append(max(reach))
+        for s, n in enumerate(best):
+            head = n > 0 and (s == 0 or best[s - 1] == 0 or n >= best[s - 1])
+            assert ((i, s) in mine) == head
+            if head:
+                size, item, at = mine[i, s]
+                assert size == n == agree(d, s, items[item][1], at)
+
+
+def test_a_text_of_one_word_is_searched_in_linear_time():
+    tests = decontam.TestBlock.build([("x", [b"w"] * 1000, 0), ("y", [b"w"] * 400 + [b"v"], 0)], 10)
+    began = time.perf_counter()
+    found = decontam.search_shard([np.ones(1_000_000, dtype=np.int32), np.zeros(5, dtype=np.int32)], tests)
+    assert found.hit.sum() == 1_000_000 and found.pairs.tolist() == [[0, 0], [0, 1]]
+    assert found.spans[:, 2].max() == 1000 and time.perf_counter() - began < 60
+
+
 def test_leak_edges(spark, odd, empty):
     items = spark.createDataFrame([(1, "this is the end"), (2, None), (3, "")], "item_id long, text string")
     got = decontam.op5(odd, items).collect()
