@@ -65,13 +65,15 @@ def _give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset: in the warehouse,
+    on a single machine a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
         if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratakit-"))
+            # a folder of this machine does only where everything runs on it
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratakit-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
             found = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(found)

@@ -1,6 +1,6 @@
 """Language identification by word-first backoff.
 
-A known word scores by its log frequency in each language; a word that training has not kept falls
+A known word scores by its log frequency in each language; a word that training has not seen falls
 back to its character 5-grams, then 4-grams, down to single characters: the first order with a known
 gram decides. A document's language is the one with the largest sum over its words.
 """
@@ -58,24 +58,21 @@ class LanguageModel:
         return np.zeros(len(self.langs), dtype=np.float32)
 
 
-def _table(counts: DataFrame, totals: dict[str, float], distinct: int, langs: list[str], least: int, most: int) -> Table:
-    """counts: key, lang, n. Add-half smoothed log frequencies of the keys with ``least`` or more, the commonest ``most``."""
-    kept = counts.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") >= least).orderBy(F.desc("all"), "key").limit(most).select("key")
-    pulled = counts.join(kept, "key").toArrow()
+def _table(keys: list[str], langs: np.ndarray, n: np.ndarray, count: int) -> Table:
+    """keys with the number of a language and a count, for ``count`` languages: add-half smoothed log frequencies."""
     index: dict[str, int] = {}
-    at = np.array([index.setdefault(k, len(index)) for k in pulled.column("key").to_pylist()], dtype=np.int64)
-    column = {lang: i for i, lang in enumerate(langs)}
-    rows = np.full((len(index), len(langs)), 0.5)
-    rows[at, [column[x] for x in pulled.column("lang").to_pylist()]] += pulled.column("n").to_numpy()
-    all_ = np.array([totals.get(lang, 0.0) for lang in langs]) + 0.5 * max(1, distinct)
-    return Table(index, np.log(rows / all_).astype(np.float32))
+    at = np.fromiter((index.setdefault(k, len(index)) for k in keys), np.int64, len(keys))
+    rows = np.full((len(index), count), 0.5)
+    np.add.at(rows, (at, langs), n)
+    totals = np.bincount(langs, n, minlength=count) + 0.5 * max(1, len(index))
+    return Table(index, np.log(rows / totals).astype(np.float32))
 
 
-def train(docs: DataFrame, max_docs: int = 4000, least: int = 3, max_words: int = 50_000, max_grams: int = 20_000) -> LanguageModel:
+def train(docs: DataFrame, max_docs: int = 4000) -> LanguageModel:
     """Learns from text and non-null lang of ``docs``.
 
-    The classifier is fitted on at most about ``max_docs`` labelled documents, chosen by a hash of text and
-    label; ``max_words`` and ``max_grams`` (for each order) bound what is broadcast. No labelled row: no languages.
+    The classifier is fitted on at most about ``max_docs`` labelled documents, chosen by a hash of text and label, so that
+    equal rows come in together; of these, every word and every n-gram is kept. No labelled row: no languages.
     """
     spark = docs.sparkSession
     C.batches(spark)
@@ -95,30 +92,27 @@ def train(docs: DataFrame, max_docs: int = 4000, least: int = 3, max_words: int
                                 seen[lang, order, padded[i : i + order]] += n
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "order", "key", "n"])
 
-    found, words_path = C.written(C.dealt(sample).mapInPandas(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "words")
-    words = found.where("order = 0").drop("order")
+    found, path = C.written(C.dealt(sample).mapInPandas(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")), "words")
     model = LanguageModel([])
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     orders = F.array(*map(F.lit, model.orders))
     grams = F.flatten(F.transform(orders, lambda o: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - o + 1)), lambda i: F.struct(o.alias("order"), F.substr(padded, i, o).alias("gram")))))
-    exploded = words.where(F.length("key") <= PIECE).select("lang", "n", F.explode(grams).alias("g")).where(F.length("g.gram") == F.col("g.order")).select(F.col("g.order").alias("order"), F.col("g.gram").alias("key"), "lang", "n")
-    exploded = exploded.unionByName(found.where("order > 0"))
-    counted, grams_path = C.written(exploded.groupBy("order", "key", "lang").agg(F.sum("n").alias("n")), "grams")
-
-    def sizes(df):
-        return df.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect(), {r.order: r.d for r in df.groupBy("order").agg(F.count_distinct("key").alias("d")).collect()}
-
-    tagged = words.withColumn("order", F.lit(0))
-    totals, distinct = sizes(tagged.select("order", "key", "lang", "n").union(counted.select("order", "key", "lang", "n")))
-    model.langs = sorted({r.lang for r in totals})
-    for order in (0, *model.orders):
-        table = (words if not order else counted.where(F.col("order") == order)).select("key", "lang", "n")
-        made = _table(table, {r.lang: r.n for r in totals if r.order == order}, distinct.get(order, 1), model.langs, least, max_grams if order else max_words)
-        if order:
-            model.grams.append(made)
+    exploded = found.where((F.col("order") == 0) & (F.length("key") <= PIECE)).select("lang", "n", F.explode(grams).alias("g")).where(F.length("g.gram") == F.col("g.order")).select("lang", F.col("g.order").alias("order"), F.col("g.gram").alias("key"), "n")
+    counted = found.union(exploded).groupBy("order", "key", "lang").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    C.remove(spark, path)
+    lang = counted.column("lang").combine_chunks().dictionary_encode() if counted.num_rows else None
+    names = lang.dictionary.to_pylist() if lang is not None else []
+    model.langs = sorted(names)
+    number = np.array([model.langs.index(x) for x in names], dtype=np.int64)
+    order, n = counted.column("order").to_numpy(), counted.column("n").to_numpy()
+    for o in (0, *model.orders):
+        mine = np.flatnonzero(order == o)
+        some = number[lang.indices.to_numpy()[mine]] if len(mine) else np.zeros(0, dtype=np.int64)
+        table = _table(counted.column("key").take(pa.array(mine)).to_pylist(), some, n[mine], len(names))
+        if o:
+            model.grams.append(table)
         else:
-            model.words = made
-    C.remove(spark, words_path, grams_path)
+            model.words = table
     return model
 
 

@@ -39,36 +39,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return left.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", range_rows: int = 100_000) -> DataFrame:
     """``docs`` (doc_id, text, source and any others) with __size, __source_size, __target, __taken.
 
-    A null text has size 0; a null source is a source; a null doc_id is keyed as ``null``. Rows with one doc_id come
-    in order of size and text hash. ``digits``: hex digits of the key that make a range, 3 for 4096 ranges a source.
+    A null text has size 0; a null source is a source; a null doc_id counts as ``null``. The key is a hash of doc_id and
+    text, so that rows of one id, or of none, lie apart; rows that agree in both come in order of size. Ranges of keys
+    hold about ``range_rows`` rows at most, as many as the table takes; what is taken doesn't depend on them. Repeated rows
+    count each. An empty table gives no rows.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.select(
+    count, digits = docs.count(), 1
+    while count > range_rows * 16**digits and digits < 7:
+        digits += 1
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
+    rows = C.dealt(docs).select(
         "*",
         words(F.col("text")).alias("__size"),
         F.col("source").alias("__source"),
         F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("__key"),
     ).withColumn("__range", F.shiftright("__key", 60 - 4 * digits))
-    per_range = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("n"))
-    sizes = targets(per_range.groupBy(F.col("__source").alias("source")).agg(F.sum("n").alias("source_size")))
-    before = F.sum("n").over(Window.partitionBy("__source").orderBy("__range")) - F.col("n")
-    starts = per_range.select(F.col("__source").alias("s"), F.col("__range").alias("r"), before.alias("start")).join(sizes, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    order = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "__size", F.xxhash64("text"))
+    per_range = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__n"))
+    sizes = targets(per_range.groupBy(F.col("__source").alias("source")).agg(F.sum("__n").alias("source_size")))
+    sizes = sizes.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    before = F.sum("__n").over(Window.partitionBy("__source").orderBy("__range")) - F.col("__n")
+    starts = per_range.select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), before.alias("__start")).join(sizes, F.col("__s").eqNullSafe(F.col("__of"))).drop("__of")
+    order = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "__size")
     rows = rows.withColumn("__within", F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.join(starts, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__range") == F.col("r")))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    part = F.least(F.col("__size"), F.greatest(F.lit(0), budget - epochs * F.col("source_size") - F.col("start") - F.col("__within")))
-    return rows.select(
-        *(f"`{c}`" for c in docs.columns),
-        "__size",
-        F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"),
-        (epochs * F.col("__size") + part).cast("long").alias("__taken"),
-    )
+    rows = rows.join(starts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    budget, size = F.floor("__target"), F.col("__source_size")
+    epochs = F.when(size > 0, F.floor(budget / size)).otherwise(0)
+    part = F.least(F.col("__size"), F.greatest(F.lit(0), budget - epochs * size - F.col("__start") - F.col("__within")))
+    return rows.select(*(f"`{c}`" for c in docs.columns), "__size", "__source_size", "__target", (epochs * F.col("__size") + part).cast("long").alias("__taken"))
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def op8(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each epoch of a document. The document in which a
     source's budget ends gives its words up to there, joined by single spaces, and n_chars follows. Documents
-    without words are left out."""
+    without words, null texts among them, are left out; repeated rows count each; an empty table stays empty."""
     mixed = mix(docs).where("__taken > 0")
     whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
     part = (F.col("__taken") % F.col("__size")).cast("int")
@@ -95,7 +96,7 @@ def apply(docs: DataFrame) -> DataFrame:
 SQL = """
 WITH rows AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
   FROM {docs}),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+import uuid
 import zlib
 from urllib.parse import urlparse
 
@@ -113,10 +114,11 @@ def decode_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 
 def put(path: str, data: bytes) -> None:
-    """Writes a file whole or not at all; from an executor, in any store that pyarrow reaches."""
-    url = urlparse(path)
+    """Writes a file whole or not at all; from an executor, in any store that pyarrow reaches. Each attempt writes under a
+    name of its own first."""
+    url, attempt = urlparse(path), f"{uuid.uuid4().hex}.tmp"
     if url.scheme in ("", "file"):
-        aside = f"{url.path}.{os.getpid()}.tmp"
+        aside = f"{url.path}.{attempt}"
         os.makedirs(posixpath.dirname(url.path), exist_ok=True)
         with open(aside, "wb") as f:
             f.write(data)
@@ -125,9 +127,9 @@ def put(path: str, data: bytes) -> None:
     from pyarrow import fs
 
     store, place = fs.FileSystem.from_uri(path)
-    with store.open_output_stream(f"{place}.{os.getpid()}.tmp") as f:
+    with store.open_output_stream(f"{place}.{attempt}") as f:
         f.write(data)
-    store.move(f"{place}.{os.getpid()}.tmp", place)
+    store.move(f"{place}.{attempt}", place)
 
 
 class _Known(dict):
@@ -217,13 +219,15 @@ def encoder(path: str) -> Encoder:
 def write(docs: DataFrame, path: str, folder: str, end: int = 2, partitions: int | None = None, shard_values: int = SHARD_VALUES) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text) and ``end`` after each, in ascending doc_id order, nulls first.
 
-    Equal doc_ids are ordered by text. A null text is empty: ``end`` alone. Returns the written manifest: shard (its
+    Rows of one doc_id, null among them, are ordered by a hash of their texts, then by these, and may lie in several
+    shards. Repeated rows are written each; an empty table gives no files. A null text is empty: ``end`` alone. Returns the written manifest: shard (its
     file's name; names sort as the documents do), n_docs, n_values.
     """
     spark = docs.sparkSession
     C.batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = C.pick(docs, doc_id="long", text="string").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    rows = C.pick(docs, doc_id="long", text="string").repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     def run(batches):
         encode, part = encoder(path), TaskContext.get().partitionId()

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import duckdb
@@ -85,8 +87,65 @@ def test_cut_documents_keep_their_first_words(spark):
         assert sum(len(t.split()) for t in mine) == n and all(t.split() == f"w{i} x y z".split()[: len(t.split())] for t in mine)
 
 
-@pytest.mark.parametrize("digits", [1, 2])
-def test_ranges_do_not_change_the_mix(spark, small, digits):
+@pytest.mark.parametrize("range_rows", [1, 20])
+def test_ranges_do_not_change_the_mix(spark, small, range_rows):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns = ["doc_id", "__taken"]
-    assert sorted(mixing.mix(docs, digits=digits).select(columns).collect()) == sorted(mixing.mix(docs).select(columns).collect())
+    assert sorted(mixing.mix(docs, range_rows=range_rows).select(columns).collect()) == sorted(mixing.mix(docs).select(columns).collect())
+
+
+def learned(train):
+    """Counts of words and grams as dicts: what word-first backoff learns, written out."""
+    langs = sorted({lang for _, lang in train})
+    seen: dict = {}
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for o in (0, 5, 4, 3, 2, 1):
+                p = f"^{w}$"
+                for g in [w] if o == 0 else [p[i : i + o] for i in range(len(p) - o + 1)]:
+                    seen.setdefault(o, {}).setdefault(g, dict.fromkeys(langs, 0))[lang] += 1
+    total = {(o, lang): sum(c[lang] for c in m.values()) + 0.5 * len(m) for o, m in seen.items() for lang in langs}
+    return langs, seen, total
+
+
+def by_hand(langs, seen, total, text):
+    """Every gram looked at."""
+    sums = dict.fromkeys(langs, 0.0)
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    for w in words:
+        for o in (0, 5, 4, 3, 2, 1):
+            p = f"^{w}$"
+            found = [g for g in ([w] if o == 0 else [p[i : i + o] for i in range(len(p) - o + 1)]) if g in seen[o]]
+            if found:
+                for lang in langs:
+                    sums[lang] += sum(math.log((seen[o][g][lang] + 0.5) / total[o, lang]) for g in found) / len(found)
+                break
+    best = max(langs, key=lambda x: (sums[x], [-ord(c) for c in x]))
+    return (best, 1 / sum(math.exp(sums[x] - sums[best]) for x in langs)) if words else ("und", 0.0)
+
+
+def test_language_equals_brute_force(spark, small):
+    rows = [(r.doc_id, (r.text or "")[:400] if r.text is not None else None, r.lang) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    train = [(t, lang) for d, t, lang in rows if zlib.crc32(str(d).encode()) % 3 != 1 and t is not None and lang is not None]
+    got = langid.op1(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    texts = {d: t for d, t, _ in rows}
+    assert len(got) == len(rows)
+    known = learned(train)
+    for r in got:
+        want, score = by_hand(*known, texts[r.doc_id])
+        assert r.lang_pred == want and r.score == pytest.approx(score, abs=1e-3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_mix_of_clashing_columns_and_one_id(spark):
+    rows = [(None if i % 3 else 5, f"w{i} " * (i % 7 + 1), "a" if i % 4 else "b", i, i, "x", "y", 1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target long, start long, s string, r string, source_size long, n long")
+    got = mixing.mix(df, range_rows=10).collect()
+    assert len(got) == 300 and all(r.target == r.start for r in got)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        size = sum(r.__getitem__("__size") for r in mine)
+        assert {r["__source_size"] for r in mine} == {size} and sum(r["__taken"] for r in mine) == int(mine[0]["__target"])
+    # what is taken doesn't depend on the ranges
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert sum(r["__taken"] for r in got) == sum(len(r.text.split()) for r in mixing.apply(df).collect())
+    assert mixing.mix(df.limit(0)).collect() == []
