@@ -75,8 +75,8 @@ def mod_relu_complex(z: Column, bias: float = -0.2) -> Column:
 @activation
 def softmax(a: Column) -> Column:
     """a: array<double>."""
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / vec.total(e))
+    powers = vec.bound(a, lambda v: vec.bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return vec.bound(powers, lambda e: vec.bound(vec.total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 @derivative("linear")

@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: a lambda's body is computed anew for each element."""
+    return F.transform(F.array(value), f)[0]
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -25,12 +29,12 @@ def norm(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return F.try_divide(total(a), F.size(a).cast("double"))
+    return bound(a, lambda v: F.try_divide(total(v), F.size(v).cast("double")))
 
 
 def variance(a: Column) -> Column:
     """Population variance of the elements."""
-    return F.try_divide(total(F.transform(a, lambda x: (x - mean(a)) * (x - mean(a)))), F.size(a).cast("double"))
+    return bound(a, lambda v: bound(mean(v), lambda m: F.try_divide(total(F.transform(v, lambda x: (x - m) * (x - m))), F.size(v).cast("double"))))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -65,7 +69,7 @@ def euclidean_distance(a: Column, b: Column) -> Column:
 
 def variance_ratio(a: Column, b: Column) -> Column:
     """Half the share of a's variance in both: not a distance between a and b."""
-    return F.try_divide(0.5 * variance(a), variance(a) + variance(b))
+    return bound(variance(a), lambda v: F.try_divide(0.5 * v, v + variance(b)))
 
 
 def normalized_euclidean_distance(a: Column, b: Column, compat: bool = False) -> Column:

@@ -6,9 +6,10 @@ All states merge: fitting once more goes on from what was seen, unless ``reset``
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chrono
@@ -19,6 +20,13 @@ from .moments import Moments, clean
 KINDS: dict[str, type[Encoder]] = {}
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all machines share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 class Encoder(ABC):
     """One input column, at a position of the pipeline. Subclasses are found by name when pipelines are loaded."""
 
@@ -214,11 +222,13 @@ class CategoricalEncoder(Encoder):
 
     kind, output_type = "categorical", "int"
     RARE = "rare_label"
+    HELD = 10_000
 
     def __init__(self, target: str, index: int, classes: int = 15, for_target: bool = False, rare_threshold: float | None = None):
         super().__init__(target, index)
         self.classes, self.for_target, self.rare_threshold = classes, for_target, rare_threshold
         self.counts: dict[str, int] = {}
+        self.table: str | None = None
         self.labels: list[str] = []
         self.n_distinct = 0
         self.total = 0
@@ -228,18 +238,24 @@ class CategoricalEncoder(Encoder):
         return df.where(c.isNotNull()).groupBy(c.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
     def prepare(self, df: DataFrame) -> None:
-        counted = self.count_categories(df)
-        seen = counted.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        # the commonest, and those that had codes before
-        top = {r.label: r.n for r in counted.orderBy(F.desc("n"), "label").limit(max(self.classes, 1) + 1).collect()}
-        known = [x for x in self.counts if x not in top]
-        if known:
-            top |= {r.label: r.n for r in counted.where(F.col("label").isin(known)).collect()}
-        for label, n in top.items():
-            self.counts[label] = self.counts.get(label, 0) + n
-        self.total += seen["n"]
-        self.n_distinct = max(self.n_distinct, seen["d"])
-        ranked = sorted(self.counts, key=lambda x: (-self.counts[x], x))[: self.classes]
+        """Adds the labels of ``df`` to those of earlier batches. Up to ``HELD`` labels are kept with their counts; more
+        of them are a table in the shared folder, so that any order of batches gives what one pass gives."""
+        counted, spark = self.count_categories(df), df.sparkSession
+        if self.table:
+            counted = counted.union(spark.read.parquet(self.table))
+        elif self.counts:
+            counted = counted.union(spark.createDataFrame(list(self.counts.items()), "label string, n long"))
+        counted = counted.groupBy("label").agg(F.sum("n").alias("n")) if self.table or self.counts else counted
+        commonest = counted.orderBy(F.desc("n"), "label")
+        top = commonest.limit(self.HELD + 1).collect()
+        if len(top) <= self.HELD:
+            self.total, self.n_distinct = sum(r.n for r in top), len(top)
+        else:
+            self.table = shared_path(spark, "labels")
+            counted.write.parquet(self.table)
+            self.total, self.n_distinct = spark.read.parquet(self.table).agg(F.sum("n"), F.count(F.lit(1))).first()
+        self.counts = {r.label: r.n for r in top}
+        ranked = [r.label for r in top[: self.classes]]
         if self.rare_threshold:
             ranked = [x for x in ranked if self.counts[x] >= self.rare_threshold * self.total]
         self.labels = ranked
@@ -288,10 +304,11 @@ class CategoricalEncoder(Encoder):
         return {"target": self.target, "index": self.index, "classes": self.classes, "for_target": self.for_target, "rare_threshold": self.rare_threshold}
 
     def state(self) -> dict:
-        return {"counts": self.counts, "labels": self.labels, "n_distinct": self.n_distinct, "total": self.total}
+        return {"counts": self.counts, "table": self.table, "labels": self.labels, "n_distinct": self.n_distinct, "total": self.total}
 
     def restore(self, state: dict) -> None:
         self.counts, self.labels, self.n_distinct, self.total = dict(state["counts"]), list(state["labels"]), state["n_distinct"], state["total"]
+        self.table = state.get("table")
 
 
 class TimeCycleEncoder(Encoder):

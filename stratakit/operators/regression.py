@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,15 +169,17 @@ class Regression:
             self.r_square = 1 - rss / q if q > 0 else 0.0
             self.adjusted_r_square = 1 - (1 - self.r_square) * (self.n - 1) / max(1, self.n - d - 1)
             return self
-        g = moments.vector_gram(df, features, d) if whole else moments.gram(df, features)
-        self.n, self.mean = int(g.n), g.mean
-        std = np.sqrt(np.maximum(np.diag(g.covariance()), 0))
-        self.std = np.where(std > 0, std, 1.0)
         array = df.schema[y].dataType.simpleString().startswith("array")
         target = F.transform(y, lambda x: x.cast("double")) if array else F.array(F.col(y).cast("double"))
         x = F.col(features).cast("array<double>") if whole else F.array(*(moments.clean(F.col(f"`{c}`")) for c in features))
         rows = df.select(x.alias("x"), target.alias("y"))
         rows = rows.where(F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull()) & F.col("y").isNotNull() & F.forall("y", lambda v: v.isNotNull()))
+        # every pass reads these narrow rows, not what they were made from
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        g = moments.vector_gram(rows, "x", d)
+        self.n, self.mean = int(g.n), g.mean
+        std = np.sqrt(np.maximum(np.diag(g.covariance()), 0))
+        self.std = np.where(std > 0, std, 1.0)
         k = rows.select(F.size("y")).first()[0]
         task, mean, std = self.task, self.mean, self.std
 
@@ -188,8 +191,6 @@ class Regression:
             x, t = parts(rows.toArrow())
             f = lambda w: tuple(v / max(1, len(x)) for v in _loss_grad(x, t, w, task))
         else:
-            kept = rows.cache()
-
             def f(w):
                 def run(batches):
                     loss, grad = 0.0, np.zeros_like(w)
@@ -199,7 +200,7 @@ class Regression:
                             loss, grad = loss + a, grad + b
                     yield pa.RecordBatch.from_pydict({"m": [np.r_[loss, grad.ravel()].tolist()]})
 
-                s = kept.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+                s = rows.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
                 return s[0] / self.n, s[1:].reshape(w.shape) / self.n
 
         self.weights, self.losses = scaled_conjugate_gradient(self._penalised(f), self.init_weights(d, k), iterations)
@@ -207,6 +208,7 @@ class Regression:
         share = np.array([v or 0.0 for v in rows.agg(*(F.avg(F.col("y")[i]) for i in range(k))).first()])
         p = np.clip(share, EPS, 1 - EPS)
         null = -float((share * np.log(p)).sum()) if task == "multinomial" else -float((share * np.log(p) + (1 - share) * np.log(1 - p)).sum())
+        rows.unpersist()
         self.log_likelihood = -final
         self.r_square, self.adjusted_r_square = (1 - final / null if null > 0 else 0.0), -1.0
         return self
@@ -215,8 +217,8 @@ class Regression:
         """Of each output, for standardised inputs (and output, in regression)."""
         if isinstance(self.features, str):
             d = len(self.weights) - 1
-            z = F.zip_with(F.zip_with(F.col(self.features).cast("array<double>"), F.array(*map(F.lit, self.mean[:d].tolist())), lambda a, b: a - b), F.array(*map(F.lit, self.std[:d].tolist())), lambda a, b: a / b)
-            return [vec.dot(z, F.array(*map(F.lit, col[1:].tolist()))) + float(col[0]) for col in self.weights.T]
+            x, slopes = F.col(self.features).cast("array<double>"), self.weights[1:] / self.std[:d, None]
+            return [vec.dot(x, F.array(*map(F.lit, col.tolist()))) + float(first - self.mean[:d] @ col) for col, first in zip(slopes.T, self.weights[0], strict=True)]
         x = [(moments.clean(F.col(f"`{c}`")) - float(m)) / float(s) for c, m, s in zip(self.features, self.mean, self.std, strict=False)]
         out = []
         for col in self.weights.T:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec
+
 
 def window_count(length: int, size: int, overlap: int = 0) -> int:
     return 0 if length < size else math.ceil((length - size + 1) / (size - overlap))
@@ -104,23 +106,26 @@ def rope(x: Column, position: Column, base: float = 10000.0, inverse: bool = Fal
 
 def haar(x: Column, alpha: float = math.sqrt(0.5), beta: float = math.sqrt(0.5), gamma: float = math.sqrt(0.5), delta: float = -math.sqrt(0.5)) -> Column:
     """struct<approx, detail> of an array of even length."""
-    n = (F.size(x) / 2).cast("int")
-    places = F.sequence(F.lit(0), n - 1)
 
-    def pair(a: float, b: float) -> Column:
-        return F.when(n > 0, F.transform(places, lambda i: F.element_at(x, 2 * i + 1) * a + F.element_at(x, 2 * i + 2) * b)).otherwise(F.array().cast("array<double>"))
+    def both(x: Column) -> Column:
+        n = (F.size(x) / 2).cast("int")
+        places = F.sequence(F.lit(0), n - 1)
+
+        def pair(a: float, b: float) -> Column:
+            return F.when(n > 0, F.transform(places, lambda i: F.element_at(x, 2 * i + 1) * a + F.element_at(x, 2 * i + 2) * b)).otherwise(F.array().cast("array<double>"))
 
-    return F.struct(pair(alpha, beta).alias("approx"), pair(gamma, delta).alias("detail"))
+        return F.struct(pair(alpha, beta).alias("approx"), pair(gamma, delta).alias("detail"))
+
+    return vec.bound(x, both)
 
 
 def haar_multiscale(x: Column, scales: int) -> Column:
     """struct<approx, details>: details of each scale, the finest first."""
-    details, a = [], x
+    out = F.struct(x.alias("approx"), F.array().cast("array<array<double>>").alias("details"))
     for _ in range(scales):
-        h = haar(a)
-        details.append(h["detail"])
-        a = h["approx"]
-    return F.struct(a.alias("approx"), F.array(*details).alias("details"))
+        # each scale is computed once, from the one before
+        out = vec.bound(out, lambda s: vec.bound(haar(s["approx"]), lambda h: F.struct(h["approx"].alias("approx"), F.concat(s["details"], F.array(h["detail"])).alias("details"))))
+    return out
 
 
 #: Filters of the orthogonal wavelets with one and two vanishing moments.

@@ -80,7 +80,7 @@ def r_square(spark, sf_dir):
 
 @query()
 def scg_binary(spark, sf_dir):
-    df = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents"), "doc_id").select("doc_id", "toxic", F.log1p("n_chars").alias("size"), F.length(F.regexp_replace("text", "[^!]", "")).cast("double").alias("marks"))
+    df = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents"), "doc_id").select("doc_id", "toxic", F.log1p("n_chars").alias("size"), F.regexp_count("text", F.lit("!")).cast("double").alias("marks"))
     return regression.Regression("binary").fit_predict(df, ["size", "marks"], "toxic", iterations=30).select("doc_id", "prediction")
 
 
@@ -92,7 +92,7 @@ def scg_multinomial(spark, sf_dir):
 
 @query()
 def relative_weights_logistic(spark, sf_dir):
-    df = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents"), "doc_id").select("quality", F.log1p("n_chars").alias("size"), F.length(F.regexp_replace("text", "[^!]", "")).cast("double").alias("marks"))
+    df = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents"), "doc_id").select("quality", F.log1p("n_chars").alias("size"), F.regexp_count("text", F.lit("!")).cast("double").alias("marks"))
     w = regression.relative_weights(df, ["size", "marks"], "quality", logistic=True)
     return vector(spark, size=w.raw[0], marks=w.raw[1], r2=w.r2)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.encoders import CategoricalEncoder
+
 from ..operators.moments import clean
 from ..operators.pipeline import EncoderPipeline, save_pipeline
 
@@ -59,4 +59,4 @@ def merge_standardize(mean: float, std: float, n: int, more_mean: float, more_st
     return m, math.sqrt((n * (std**2 + (mean - m) ** 2) + more_n * (more_std**2 + (more_mean - m) ** 2)) / total), total
 
 
-__all__ = ["CategoricalEncoder", "encode_stream", "fit_stream", "merge_standardize", "windowed_moments"]
+__all__ = ["encode_stream", "fit_stream", "merge_standardize", "windowed_moments"]

@@ -134,3 +134,23 @@ def test_conversions(spark):
         as_dataframe(spark, {"a": [1], "b": [1, 2]})
     df = spark.createDataFrame([([1, 2],)], "v array<int>")
     assert expand_list_column(df, "v", 2).first().asDict() == {"v_0": 1, "v_1": 2}
+
+
+def test_categories_of_batches_equal_one_pass(spark, monkeypatch):
+    from stratakit.operators.encoders import CategoricalEncoder
+
+    # c is third in every batch, and first over both
+    batches = [["a"] * 5 + ["b"] * 5 + ["c"] * 4 + [f"x{i}" for i in range(6)], ["d"] * 5 + ["e"] * 5 + ["c"] * 4 + [None, "x0"]]
+    frames = [spark.createDataFrame([(x,) for x in b], "label string") for b in batches]
+    for held in (10_000, 3):  # in memory, and as a table
+        monkeypatch.setattr(CategoricalEncoder, "HELD", held)
+        whole, parts = (CategoricalEncoder("label", 0, classes=2) for _ in range(2))
+        whole.prepare(frames[0].union(frames[1]))
+        for f in frames:
+            parts.prepare(f)
+        assert parts.labels == whole.labels == ["c", "a"]
+        assert (parts.total, parts.n_distinct) == (whole.total, whole.n_distinct) == (35, 11)
+        again = CategoricalEncoder("label", 0, classes=2)
+        again.restore(parts.state())
+        again.prepare(frames[1])
+        assert again.labels == ["c", "d"] and again.total == 50
