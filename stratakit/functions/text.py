@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,35 +15,17 @@ def hash_string(value: Column) -> Column:
     return F.sha2(value.cast("string"), 256)
 
 
-class _Text(HTMLParser):
-    """Keeps text; references stay as they were written."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.parts: list[str] = []
-
-    def handle_data(self, data):
-        self.parts.append(data)
-
-    def handle_entityref(self, name):
-        self.parts.append(f"&{name};")
-
-    def handle_charref(self, name):
-        self.parts.append(f"&#{name};")
+#: A comment, a declaration, or a tag with its attributes, whose quoted values may hold ``>``; or a reference that
+#: decoding left, with its semicolon or without.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)(?=[^a-zA-Z0-9]);?""", re.S)
 
 
 def without_tags(text: str | None) -> str | None:
-    """References decoded, then tags taken out for as long as that lessens the number of ``<``."""
-    if text is None:
-        return None
-    text = unescape(text)
-    while (before := text.count("<")) > 0:
-        parser = _Text()
-        parser.feed(text)
-        parser.close()
-        text = "".join(parser.parts)
-        if text.count("<") >= before:
-            break
+    """References decoded, then markup taken out until none is left, also such as the taking out has made. Where there
+    was a ``<``, unknown references end in a semicolon."""
+    text = None if text is None else unescape(text)
+    while text and "<" in text and (left := MARKUP.sub(lambda m: f"&{m[1]};" if m[1] else "", text)) != text:
+        text = left
     return text
 
 

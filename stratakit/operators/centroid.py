@@ -40,7 +40,7 @@ class CentroidNetwork:
         def run(batches):
             n, s, e = np.zeros(k), np.zeros((k, d)), np.zeros(k)
             for batch in batches:
-                x = np.array(batch.column(0).to_pylist(), dtype=float)
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), d)
                 if len(x):
                     d2 = ((x[:, None] - c.value) ** 2).sum(axis=2)
                     at = d2.argmin(axis=1)

@@ -317,6 +317,11 @@ class VotingGate(Block):
         return self.vote.backward(dz) + sum(m.backward(delta * self.p[..., i : i + 1]) for i, m in enumerate(self.experts))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list array, all of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 class Optimizer(ABC):
     def __init__(self, lr: float = 0.001):
         self.lr = lr
@@ -377,7 +382,7 @@ class NeuralNetwork:
 
         def run(batches):
             for batch in batches:
-                x = np.array(batch.column(at).to_pylist(), dtype=float)
+                x = matrix(batch.column(at))
                 y = net.forward(x).tolist() if len(batch) else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.list_(pa.float64()))], names=[*names, output])
 
@@ -396,7 +401,7 @@ class NeuralNetwork:
                 for batch in batches:
                     if not len(batch):
                         continue
-                    x, y = np.array(batch.column(0).to_pylist(), dtype=float), np.array(batch.column(1).to_pylist(), dtype=float)[:, None]
+                    x, y = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)[:, None]
                     d = net.forward(x, True) - y
                     net.backward(2 * d)
                     g = np.concatenate([layer.grads[k].ravel() for layer in net._leaves() for k in layer.params]) * len(x)

@@ -148,10 +148,12 @@ def assign(df: DataFrame, centres: list[list[float]], features: str = "features"
 
         def run(batches):
             for batch in batches:
-                x = np.array(batch.column(at).to_pylist(), dtype=float).reshape(len(batch), -1)
-                d = (x**2).sum(1)[:, None] + (c.value**2).sum(1) - 2 * x @ c.value.T if len(batch) else np.zeros((0, 1))
-                k = d.argmin(axis=1)
-                near = ((x - c.value[k]) ** 2).sum(axis=1) if len(batch) else np.zeros(0)
+                x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), c.value.shape[1])
+                # differences as in the expression for few centres, so that ties fall alike; a block of rows at a time
+                step = max(1, 4_000_000 // c.value.size)
+                parts = [((x[i : i + step, None] - c.value) ** 2).sum(axis=2) for i in range(0, len(x), step)]
+                k = np.concatenate([p.argmin(axis=1) for p in parts]) if parts else np.zeros(0, dtype=int)
+                near = np.concatenate([p.min(axis=1) for p in parts]) if parts else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k.astype(np.int32)), pa.array(near)], names=[*names, "cluster", "distance"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -183,9 +183,12 @@ class Regression:
         k = rows.select(F.size("y")).first()[0]
         task, mean, std = self.task, self.mean, self.std
 
+        def flat(column):
+            return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
         def parts(batch):
-            x = (np.array(batch.column(0).to_pylist(), dtype=float).reshape(len(batch), d) - mean) / std
-            return np.c_[np.ones(len(x)), x], np.array(batch.column(1).to_pylist(), dtype=float).reshape(len(batch), k)
+            x, t = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), n) for c, n in ((flat(batch.column(0)), d), (flat(batch.column(1)), k)))
+            return np.c_[np.ones(len(x)), (x - mean) / std], t
 
         if self.n * (d + k) <= self.local_cells:
             x, t = parts(rows.toArrow())

@@ -192,7 +192,10 @@ def sha256_col(spark, sf_dir):
     return t(spark, sf_dir, "benchmark").select("item_id", text.hash_string(F.col("text")).alias("hash"))
 
 
-@query()
+@query(r"""
+WITH u AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS x FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(x, '&([a-zA-Z][-.a-zA-Z0-9]*)([^a-zA-Z0-9;])', '&\1;\2', 'g'), '<!--.*?-->|<[!?][^>]*>|</?[a-zA-Z][^>]*>', '', 'gs') AS text FROM u
+""")
 def strip_tags(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("encoding", "vectors", "clusters", "statistics"):
+    for name in ("encoding", "vectors", "clusters", "statistics", "models"):
         import_module(f"stratakit.plans.{name}")
 
 
