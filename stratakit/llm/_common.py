@@ -125,6 +125,8 @@ def spread(left: DataFrame, right: DataFrame, keys: list[str], by: str, size: in
     spark = left.sparkSession
     most = max(1, -(-size // parts))
     often = counts.where(F.col("n") > 2 * most).select(*keys, F.least(F.ceil(F.col("n") / most), F.lit(parts)).cast("int").alias("__pieces")).collect()
+    # the plan is the same without such a key: then the first one stands for them, in one piece
+    often = often or counts.select(*keys, F.lit(1).alias("__pieces")).take(1)
     if not often:
         return left.join(right, keys, how)
     pieces = F.broadcast(spark.createDataFrame(often, counts.select(*keys, F.lit(1).alias("__pieces")).schema))
