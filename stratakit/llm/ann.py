@@ -175,7 +175,7 @@ def exact(rows: DataFrame, asked: tuple[np.ndarray, np.ndarray], k: int, *also:
     return rows.select("vec_id", "v", *also).mapInArrow(scan, f"q int, vec_id long, d double{kinds}").distinct().withColumn("r", best).where(F.col("r") <= k).drop("r")
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.95, max_sample: int = 20_000, branch: int = 64, leaf_size: int = 48, max_calibration: int = 128, probe: int = 256, shelf: int = 4096, block: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.95, max_sample: int = 20_000, branch: int = 64, leaf_size: int = 48, max_calibration: int = 128, probe: int = 256, shelf: int = 4096, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``, against all other rows.
 
     vectors: vec_id, embedding. ``max_sample`` rows fit the tree and ``max_calibration`` queries calibrate it, both
@@ -276,7 +276,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
     asking = queries.join(queries.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")), "vec_id").select("vec_id", "v", "own").distinct()
     visits = asking.mapInArrow(open_, "shelf int, blk int, query_id long, q array<double>, leaves array<int>, bound double")
 
-    shelves = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(tree.leaves, dtype=np.int32), "shelf": on, "blocks": np.array(blocks, dtype=np.int32)[on]}))
+    # int as in visits: both sides of the cogroup are dealt out by hashes of shelf and blk, which differ by type
+    shelves = spark.createDataFrame([(i, x, blocks[x]) for i, x in enumerate(on.tolist())], "leaf int, shelf int, blocks int")
     shelved = index.join(F.broadcast(shelves), "leaf").withColumn("blk", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).drop("blocks")
 
     def within(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:

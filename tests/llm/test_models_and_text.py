@@ -31,8 +31,13 @@ def test_recall_and_order(spark, copies):
     ids = rng.permutation(len(x))
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
     got: dict = {}
-    # a small sample, so that not every row is known to the tree
-    for r in ann.search(df, every=50, max_sample=500, block=150).orderBy("query_id", "rank").collect():
+    # a small sample, so that not every row is known to the tree; groups in partitions of their own, as on many machines
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    found = ann.search(df, every=50, max_sample=500, shelf=100, block=150).orderBy("query_id", "rank").collect()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    for r in found:
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert r.rank == len(got[r.query_id])
     want = exact(ids, x.astype(float), 50, 10)
