@@ -298,7 +298,10 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
                 row, col, d = nearest(ids[here], v[here], qids[who], q[who], k)
                 keep = d <= bound[who[row]] * (1 + 1e-12)
                 out.append(pd.DataFrame({"query_id": qids[who[row[keep]]], "vec_id": ids[here][col[keep]], "score": d[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if not out:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        # of all leaves of the group again the k nearest only
+        return pd.concat(out).drop_duplicates().sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
 
     near = shelved.groupBy("shelf", "blk").cogroup(visits.groupBy("shelf", "blk")).applyInPandas(within, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
