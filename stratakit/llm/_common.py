@@ -50,12 +50,21 @@ def held(key, make):
     """What ``make`` gives, kept by this process from task to task until another key is asked for: a Python worker
     remembers for one operator at a time."""
     if _held[0] != key:
+        if _held[0] is None:
+            _arrays_apart()
         _held[:] = [None, None]
         _give_back()
         _held[:] = [key, make()]
     return _held[1]
 
 
+def _arrays_apart(least: int = 1 << 20) -> None:
+    """Arrays of ``least`` bytes or more get pages of their own, which go back to the system when they are freed: glibc
+    would raise that limit to the largest array freed so far, and keep what lies below."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, least)
+
+
 def _give_back() -> None:
     """Memory that allocators keep for later goes back to the system: the worker's next operator needs other sizes."""
     gc.collect()

@@ -91,6 +91,7 @@ class SuffixArray:
         self.text = np.r_[text, np.zeros(size, dtype=text.dtype)]
         # prefix doubling, over the runs with a wanted suffix only
         rank, depth = self.text.astype(np.int64), 1
+        del at, stops
         inside = np.flatnonzero(self._reach(wanted))
         while depth < size and len(inside):
             key = rank[inside] * (rank.max() + 1) + np.where(inside + depth < len(rank), rank[np.minimum(inside + depth, len(rank) - 1)], 0)
@@ -262,7 +263,7 @@ def test_blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[T
         yield TestBlock.build(held, size)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 10, block_words: int = 2_000_000, shard_words: int = 1_000_000, spans: bool = False, prefix: str = "") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = 10, block_words: int = 2_000_000, shard_words: int = 250_000, spans: bool = False, prefix: str = "") -> DataFrame:
     """``keep`` of docs (at least text must exist), with n_words, n_hit, n_items, items_sha256, contaminated, longest_match.
 
     A null or wordless text has no words and no hits. Items without words are never found; items with one id count
@@ -271,6 +272,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     words, item_id (of several items one) and first word in the item, of each place where a window occurs but those whose
     match only goes on with that of the place before. ``keep`` may hold any columns: they pass unchanged. Blocks of test
     items are taken one after the other; what all but the last find is written, and only one block is broadcast at a time.
+    A task holds about a hundred bytes a word of a shard, which is at least one Arrow batch.
     """
     spark = docs.sparkSession
     C.batches(spark)

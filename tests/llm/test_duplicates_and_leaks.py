@@ -235,3 +235,35 @@ def test_leak_edges(spark, odd, empty):
     assert decontam.op5(empty, items).collect() == [] and not any(r.contaminated for r in decontam.op5(odd, items.limit(0)).collect())
     left = decontam.clean(odd, items)
     assert left.columns == odd.columns and left.count() == odd.count() - 2
+
+
+def test_a_shard_holds_little():
+    import inspect
+    import tracemalloc
+
+    tests = decontam.TestBlock.build([(str(i), [b"%d" % (i * 7 + j) for j in range(40)], 0) for i in range(50)], 10)
+    words = np.random.default_rng(1).integers(0, 60, inspect.signature(decontam.scan).parameters["shard_words"].default).astype(np.int32)
+    tracemalloc.start()
+    decontam.search_shard([words], tests)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+
+
+def test_freed_arrays_go_back_to_the_system():
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np
+from stratakit.llm import _common
+_common.held("one", dict)
+for mb in (8, 16, 24, 30):
+    np.ones(mb << 17)
+rows = [np.ones(2 << 17) for _ in range(60)]
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 >> 10
+before = rss()
+del rows[::2]
+print(before - rss())
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=60).stdout) > 40
