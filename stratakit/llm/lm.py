@@ -2,7 +2,7 @@
 
 A byte is eight binary decisions; each has a context tree over the bytes before it, as far back as ``depth``. Every
 node estimates by Krichevsky-Trofimov from its own counts and is mixed with its children with the weight that the
-training text gives it. Of the contexts of one depth the commonest ``nodes`` get a node of their own; beside these
+training text gives it. ``whole`` gives every context a node, by tables; ``op7`` uses it. In ``train`` of the contexts of one depth the commonest ``nodes`` get a node of their own; beside these
 children a context has one more that stands for all its others, so that a tree of bounded size counts every byte,
 whatever the corpus. Counting and scoring are passes over all documents; only the tree itself is built on the driver.
 
@@ -15,13 +15,15 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -259,6 +261,14 @@ class Model:
     counts: DataFrame  # word, n: of all training tokens
 
 
+def _common_words(words: DataFrame) -> tuple[int, int, dict[int, float]]:
+    """words: word, n. All tokens, distinct ones, and of the common words log10(n + 1)."""
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # a word of at least this share: 131072 of them at most, 8 bytes and a number each
+    got = words.where(F.col("n") >= max(1.0, total * 2.0**-17)).select("word", "n").toArrow()
+    return int(total), int(distinct), dict(zip(got.column("word").to_numpy().view(np.uint64).tolist(), np.log10(got.column("n").to_numpy() + 1.0).tolist(), strict=True))
+
+
 def train(docs: DataFrame, depth: int = 6, nodes: int = 8192) -> Model:
     """docs: text, all of them training texts; a null text is empty. Edges stand before and after each text; the one
     after it is coded as its end. No rows: every byte is as likely as another."""
@@ -305,11 +315,7 @@ def train(docs: DataFrame, depth: int = 6, nodes: int = 8192) -> Model:
 
     table, _ = C.written(count(None, 2, True), "counts")
     words = table.where("kind = 1").select(F.col("key").alias("word"), "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # a word of at least this share: 131072 of them at most, 8 bytes and a number each
-    least = max(1.0, total * 2.0**-17)
-    key, n = pulled(words.where(F.col("n") >= least).withColumnRenamed("word", "key"))
-    common = dict(zip(key.view(np.uint64).tolist(), np.log10(n + 1.0).tolist(), strict=True))
+    total, distinct, common = _common_words(words)
 
     def commonest(context):
         """Places of the ``nodes`` largest counts of at least 2, ties to the first."""
@@ -364,12 +370,13 @@ def train(docs: DataFrame, depth: int = 6, nodes: int = 8192) -> Model:
     return Model(build_tree(counts, child), int(total), int(distinct), common, words)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` of docs with n_tokens, n_known, base_score, score, bits_per_byte; a null text is empty: only its end."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), by_tree: bool = True) -> DataFrame:
+    """``keep`` of docs with n_tokens, n_known, base_score, score, bits_per_byte; a null text is empty: only its end.
+    Without ``by_tree`` only the base model scores."""
     spark = docs.sparkSession
     C.batches(spark)
     keep = list(keep)
-    rows = C.dealt(docs.select(*(f"`{k}`" for k in keep), docs["text"].cast("string").alias("text"))).select("*", F.monotonically_increasing_id().alias("__row"))
+    rows = C.dealt(docs.select(*(f"`{k}`" for k in keep), docs["text"].cast("string").alias("text"))).select("*", F.monotonically_increasing_id().alias("__id"))
     tree, common = ship(spark, model.tree), spark.sparkContext.broadcast(model.common)
 
     def run(batches):
@@ -378,7 +385,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             depth = len(unpacked(tree).first) - 2
             text, begin, end = _joined(batch.column("text"), depth)
             texts = _split(text, begin, end)
-            logs = unpacked(tree).score(text)
+            logs = unpacked(tree).score(text) if by_tree else np.zeros(len(text), dtype=np.float32)
             # every other sum is of the edges between a text's end and the next text
             total = np.add.reduceat(logs, np.stack([begin, end + 1], axis=1).ravel()[: 2 * len(begin) - 1], dtype=np.float64)[::2] if len(texts) else np.zeros(0)
             tokens, known, sums, rare, often, ends = [], [], [], [], [], [0]
@@ -399,18 +406,18 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, dtype=np.int64)
             n = np.concatenate(often).astype(np.int64) if often else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), batch.column("__row"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total), pa.array(-total / math.log10(2) / np.maximum(1, end - begin)), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(n))],
-                names=[*keep, "__row", "n_tokens", "__known", "__sum", "score", "bits_per_byte", "__rare", "__often"],
+                [*(batch.column(k) for k in keep), batch.column("__id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(total), pa.array(-total / math.log10(2) / np.maximum(1, end - begin)), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(n))],
+                names=[*keep, "__id", "n_tokens", "__known", "__sum", "score", "bits_per_byte", "__rare", "__often"],
             )
 
     kinds = C.ddl(docs.select(*(f"`{k}`" for k in keep)))
-    scored, _ = C.written(rows.mapInArrow(run, f"{kinds}, __row long, n_tokens long, __known long, __sum double, score double, bits_per_byte double, __rare array<long>, __often array<long>"), "scored")
+    scored, _ = C.written(rows.mapInArrow(run, f"{kinds}, __id long, n_tokens long, __known long, __sum double, score double, bits_per_byte double, __rare array<long>, __often array<long>"), "scored")
     tree.destroy()
     common.destroy()
-    pairs = scored.select("__row", F.explode(F.arrays_zip("__rare", "__often")).alias("p")).select("__row", F.col("p.__rare").alias("word"), F.col("p.__often").alias("k"))
-    joined = pairs.join(model.counts, "word").groupBy("__row").agg(F.sum("k").alias("__k"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("__s"))
+    pairs = scored.select("__id", F.explode(F.arrays_zip("__rare", "__often")).alias("p")).select("__id", F.col("p.__rare").alias("word"), F.col("p.__often").alias("k"))
+    joined = pairs.join(model.counts, "word").groupBy("__id").agg(F.sum("k").alias("__k"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("__s"))
     none = math.log10(model.total + model.distinct + 1)
-    return scored.join(joined, "__row", "left").select(
+    return scored.join(joined, "__id", "left").select(
         *(f"`{k}`" for k in keep),
         "n_tokens",
         (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
@@ -421,8 +428,164 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     )
 
 
+def _cells(key: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list, list, np.ndarray]:
+    """Counts and weights of the decisions of all contexts from ``depth`` down to ``top``.
+
+    key: distinct, the context's bytes, the nearest one first, and the next byte; n: how often each occurs. Gives by depth
+    (cell, a, b, ln of the weighted probability), by depth the place of each cell in the one above, and the place of each
+    key's eight decisions among the cells of ``depth``. A cell is a context and a decision's number in the heap of a byte.
+    """
+    c = key & 255
+    heaps = np.stack([(1 << i) | (c >> (8 - i)) for i in range(8)], axis=1)
+    cell, at = np.unique(((key >> 8 << 8)[:, None] | heaps).ravel(), return_inverse=True)
+    at = at.reshape(heaps.shape)
+    ones = np.stack([(c >> (7 - i)) & 1 for i in range(8)], axis=1)
+    b = np.bincount(at.ravel(), (n[:, None] * ones).ravel(), len(cell))
+    a = np.bincount(at.ravel(), (n[:, None] * (1 - ones)).ravel(), len(cell))
+    levels, up = [(cell, a, b, log_kt(a, b))], []
+    for _ in range(depth - top):
+        cell, a, b, whole = levels[-1]
+        cell, to = np.unique((cell >> 16 << 8) | (cell & 255), return_inverse=True)
+        a, b, whole = (np.bincount(to, x, len(cell)) for x in (a, b, whole))
+        levels.append((cell, a, b, math.log(0.5) + np.logaddexp(log_kt(a, b), whole)))
+        up.append(to)
+    return levels[::-1], up[::-1], at
+
+
+def _descend(level, mass: np.ndarray, sofar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left to the contexts below, and the probability of a one that those down to this level give."""
+    _, a, b, whole = level
+    stop = np.exp(np.minimum(math.log(0.5) + log_kt(a, b) - whole, 0))
+    return mass * (1 - stop), sofar + mass * stop * (b + 0.5) / (a + b + 1)
+
+
+def _whole_pairs(batches, least: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted rows (key, n) in runs that end where the two nearest bytes change."""
+    keys, ns, held = [], [], 0
+    for batch in batches:
+        keys.append(batch.column("key").to_numpy())
+        ns.append(batch.column("n").to_numpy())
+        held += len(batch)
+        if held >= least:
+            key, n = np.concatenate(keys), np.concatenate(ns)
+            cut = int(np.searchsorted(key, key[-1] >> 40 << 40))
+            if cut:
+                yield key[:cut], n[:cut]
+            keys, ns, held = [key[cut:]], [n[cut:]], len(key) - cut if cut else 0
+    if sum(map(len, keys)):
+        yield np.concatenate(keys), np.concatenate(ns)
+
+
+def _keys(column) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Of the bytes of all texts and their ends: the six bytes before and the byte itself as one number. How many bytes
+    each text has, its end with them, and the joined texts."""
+    text, begin, end = _joined(column, 6)
+    key = text.astype(np.int64)
+    for d in range(1, 7):
+        key[d:] |= text[:-d].astype(np.int64) << (8 * (7 - d))
+    return key[_coded(begin, end, len(text))], end + 1 - begin, (text, begin, end)
+
+
+def whole(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",), block: int = 3_000_000) -> DataFrame:
+    """As ``score`` by a model of the rows for which ``training`` holds, with a node for every context of six bytes that
+    occurs in any text, and so without a bound: none is left out or shares an estimate.
+
+    Counts, nodes and probabilities are tables, dealt out by the two bytes nearest; only the contexts of two bytes meet on
+    the driver. Probabilities are sent to the texts in blocks of about ``block`` at most, one at a time.
+    """
+    spark = docs.sparkSession
+    C.batches(spark)
+    names = [f"`{k}`" for k in keep]
+    rows, rows_path = C.written(C.dealt(docs.select(*names, docs["text"].cast("string").alias("text"), training.alias("__train"))).select("*", F.monotonically_increasing_id().alias("__row")), "texts")
+
+    def count(batches):
+        for held in C.grouped(batches, lambda b: b.column("text").nbytes, CHUNK // 3):
+            table = pa.Table.from_batches(held)
+            for train in (True, False):
+                key, many, joined = _keys(table.filter(pa.compute.equal(table.column("__train"), train)).column("text").combine_chunks())
+                key, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), dtype=np.int32)), pa.array(key), pa.array(n * train)], names=["kind", "key", "n"])
+                if train:
+                    tally = Counter(w for words in _split(*joined) for w in words)
+                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tally), np.uint64, len(tally))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tally) + 1, dtype=np.int32)), pa.array(np.r_[hashes, END].view(np.int64)), pa.array(np.r_[np.fromiter(tally.values(), np.int64, len(tally)), len(many)])], names=["kind", "key", "n"])
+
+    table, table_path = C.written(rows.select("text", "__train").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    pairs = table.where("kind = 0").select("key", "n", F.shiftright("key", 40).alias("pair")).repartition("pair").sortWithinPartitions("key").select("key", "n")
+
+    def up(batches):
+        for key, n in _whole_pairs(batches):
+            cell, a, b, ln = _cells(key, n, 6, 2)[0][0]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(a), pa.array(b), pa.array(ln)], names=["cell", "a", "b", "ln"])
+
+    got = pairs.mapInArrow(up, "cell long, a double, b double, ln double").toArrow()
+    levels, above = [tuple(got.column(k).to_numpy() for k in ("cell", "a", "b", "ln"))], []
+    for _ in range(2):
+        cell, a, b, ln = levels[0]
+        cell, to = np.unique((cell >> 16 << 8) | (cell & 255), return_inverse=True)
+        a, b, ln = (np.bincount(to, x, len(cell)) for x in (a, b, ln))
+        levels.insert(0, (cell, a, b, math.log(0.5) + np.logaddexp(log_kt(a, b), ln)))
+        above.insert(0, to)
+    mass, sofar = np.ones(len(levels[0][0])), np.zeros(len(levels[0][0]))
+    for level, to in zip(levels[:2], above, strict=True):
+        mass, sofar = (x[to] for x in _descend(level, mass, sofar))
+    order = np.argsort(levels[2][0])
+    top = spark.sparkContext.broadcast(tuple(x[order] for x in (levels[2][0], mass, sofar)))
+
+    def down(batches):
+        cells, left, given = top.value
+        for key, n in _whole_pairs(batches):
+            levels, to, at = _cells(key, n, 6, 2)
+            here = np.searchsorted(cells, levels[0][0])
+            mass, sofar = left[here], given[here]
+            for level, places in zip(levels[:-1], to, strict=True):
+                mass, sofar = (x[places] for x in _descend(level, mass, sofar))
+            _, a, b, _ = levels[-1]
+            one = (sofar + mass * (b + 0.5) / (a + b + 1))[at]
+            bits = np.stack([(key >> (7 - i)) & 1 for i in range(8)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1))], names=["key", "log"])
+
+    logs, logs_path = C.written(pairs.mapInArrow(down, "key long, log double"), "logs")
+    top.destroy()
+    rows_of = logs.count()
+    blocks = rows_of and 1 << (-(-rows_of // block) - 1).bit_length()
+
+    def part(key):
+        return (key ^ (key >> 23) ^ (key >> 41)) & (blocks - 1)
+
+    sums, paths = None, []
+    for i in range(blocks):
+        # as part()
+        mine = logs.where(F.expr(f"(key ^ shiftright(key, 23) ^ shiftright(key, 41)) & {blocks - 1}L = {i}")).toArrow()
+        order = np.argsort(mine.column("key").to_numpy())
+        shipped = spark.sparkContext.broadcast((mine.column("key").to_numpy()[order], mine.column("log").to_numpy()[order].astype(np.float32)))
+        del mine
+
+        def add(batches, shipped=shipped, i=i):
+            keys, log = shipped.value
+            for batch in batches:
+                key, many, _ = _keys(batch.column("text"))
+                doc, asked = np.repeat(np.arange(len(many)), many), part(key) == i
+                distinct, back = np.unique(key[asked], return_inverse=True)
+                total = np.bincount(doc[asked], log[np.searchsorted(keys, distinct)][back], len(many)) if len(distinct) else np.zeros(len(many))
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(total), pa.array(many - 1)], names=["__row", "__log", "__bytes"])
+
+        some, path = C.written(rows.select("__row", "text").mapInArrow(add, "__row long, __log double, __bytes long"), "sums")
+        shipped.destroy()
+        paths.append(path)
+        sums = some if sums is None else sums.union(some)
+    counts = table.where("kind = 1").select(F.col("key").alias("word"), "n")
+    total, distinct, common = _common_words(counts)
+    base = score(rows.select(*names, "text", "__row"), Model(build_tree([np.zeros((1, 256)), np.zeros((0, 256)), np.zeros((0, 256))], [np.full((1, 256), -1, dtype=np.int32), np.zeros((0, 256), dtype=np.int32)]), total, distinct, common, counts), (*keep, "__row"), by_tree=False)
+    C.remove(spark, logs_path)
+    if sums is None:
+        return base.drop("__row")
+    sums = sums.groupBy("__row").agg(F.sum("__log").alias("__log"), F.max("__bytes").alias("__bytes"))
+    return base.drop("score", "bits_per_byte").join(sums, "__row").drop("__row").withColumn("score", F.col("__log")).withColumn("bits_per_byte", -F.col("__log") / math.log10(2) / F.greatest(F.lit(1), "__bytes")).drop("__log", "__bytes")
+
+
 def op7(docs: DataFrame) -> DataFrame:
+    """The whole model: every context has its own node."""
     held = C.remainder("doc_id", 7) == 2
-    model = train(docs.where(~held))
     rows = C.pick(docs, doc_id="long", text="string").select("doc_id", held.alias("held_out"), "text")
-    return score(rows, model, ("doc_id", "held_out"))
+    return whole(rows, ~F.col("held_out"), ("doc_id", "held_out"))

@@ -191,6 +191,49 @@ def test_lm_edges(odd, empty):
     assert lm.op7(empty).collect() == []
 
 
+def test_whole_model_is_weighting_over_all_contexts(spark):
+    texts = ["abracadabra abracadabra", "abrac", "cadab", None, "zzabra"]
+    df = spark.createDataFrame([(i, x, i != 4) for i, x in enumerate(texts)], "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in lm.whole(df, F.col("train"), block=20).collect()}
+    raw = [(b"\xff" * 6 + (t or "").encode() + b"\xff") for t in texts]
+    places = [(x[i - 6 : i], x[i]) for x in raw[:4] for i in range(6, len(x))]
+
+    def kt(pairs, bit):
+        ones = sum(c >> bit & 1 for _, c in pairs)
+        return math.exp(lm.log_kt(np.array([float(len(pairs) - ones)]), np.array([float(ones)]))[0])
+
+    def weighted(pairs, depth, bit):
+        if depth == 6:
+            return kt(pairs, bit)
+        parts: dict = {}
+        for before, c in pairs:
+            parts.setdefault(before[5 - depth], []).append((before, c))
+        return 0.5 * kt(pairs, bit) + 0.5 * math.prod(weighted(x, depth + 1, bit) for x in parts.values())
+
+    def log10(before, c):
+        total = 0.0
+        for bit in range(7, -1, -1):
+            pairs = [(x, y) for x, y in places if y >> (bit + 1) == c >> (bit + 1)]
+            one, mass = 0.0, 1.0
+            for depth in range(7):
+                mine = [(x, y) for x, y in pairs if x[6 - depth :] == before[6 - depth :]]
+                ones, stop = sum(y >> bit & 1 for _, y in mine), 1.0 if depth == 6 else 0.5 * kt(mine, bit) / weighted(mine, depth, bit)
+                one, mass = one + mass * stop * (ones + 0.5) / (len(mine) + 1), mass * (1 - stop)
+            total += math.log10(one if c >> bit & 1 else 1 - one)
+        return total
+
+    for i, x in enumerate(raw):
+        assert got[i] == pytest.approx(sum(log10(x[j - 6 : j], x[j]) for j in range(6, len(x))), rel=1e-5)
+
+
+def test_contexts_beyond_a_bound_count(spark):
+    letters = [np.random.default_rng(i % 5).integers(0, 26, 4000) for i in range(15)]
+    df = spark.createDataFrame([(i + 3, "".join(chr(97 + int(c)) for c in x)) for i, x in enumerate(letters)], "doc_id long, text string")
+    bounded = lm.score(df, lm.train(df, nodes=8192)).agg(F.sum("score")).first()[0]
+    got = lm.whole(df, F.lit(True)).agg(F.sum("score")).first()[0]
+    assert got > 0.7 * bounded
+
+
 # chat
 
 
