@@ -93,11 +93,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{os.getpid()}-{next(_counter)}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """The rows as a Parquet table in the shared folder (this cuts the lineage), and its path."""
+def written(df: DataFrame, what: str, **options) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder (this cuts the lineage), and its path; options are the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,12 +2,14 @@
 
 A byte is eight binary decisions; each has a context tree over the bytes before it, as far back as ``depth``. Every
 node estimates by Krichevsky-Trofimov from its own counts and is mixed with its children with the weight that the
-training text gives it. ``whole`` gives every context a node, by tables; ``op7`` uses it. In ``train`` of the contexts of one depth the commonest ``nodes`` get a node of their own; beside these
-children a context has one more that stands for all its others, so that a tree of bounded size counts every byte,
-whatever the corpus. Counting and scoring are passes over all documents; only the tree itself is built on the driver.
-
-The base model is a unigram model over white-space words with add-one counts over the whole vocabulary. Words that
-make up at least 2**-17 of the corpus are counted from a table of bounded size, all others by a join.
+training text gives it. ``whole`` gives every context a node, dealt out to tasks; ``op7`` uses it. In ``train`` of the
+contexts of one depth the commonest ``nodes`` get a node of their own; beside these children a context has one more that
+stands for all its others, so that a tree of bounded size counts every byte, whatever the corpus. Counting and scoring
+are passes over all documents; only the tree itself is built on the driver.
+
+The base model is a unigram model over white-space words with add-one counts over the whole vocabulary. ``whole`` asks
+for the counts of words as for those of contexts; ``score`` has words that make up at least 2**-17 of the corpus in a
+table of bounded size, and joins all others.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -370,9 +373,8 @@ def train(docs: DataFrame, depth: int = 6, nodes: int = 8192) -> Model:
     return Model(build_tree(counts, child), int(total), int(distinct), common, words)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), by_tree: bool = True) -> DataFrame:
-    """``keep`` of docs with n_tokens, n_known, base_score, score, bits_per_byte; a null text is empty: only its end.
-    Without ``by_tree`` only the base model scores."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` of docs with n_tokens, n_known, base_score, score, bits_per_byte; a null text is empty: only its end."""
     spark = docs.sparkSession
     C.batches(spark)
     keep = list(keep)
@@ -385,7 +387,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), by
             depth = len(unpacked(tree).first) - 2
             text, begin, end = _joined(batch.column("text"), depth)
             texts = _split(text, begin, end)
-            logs = unpacked(tree).score(text) if by_tree else np.zeros(len(text), dtype=np.float32)
+            logs = unpacked(tree).score(text)
             # every other sum is of the edges between a text's end and the next text
             total = np.add.reduceat(logs, np.stack([begin, end + 1], axis=1).ravel()[: 2 * len(begin) - 1], dtype=np.float64)[::2] if len(texts) else np.zeros(0)
             tokens, known, sums, rare, often, ends = [], [], [], [], [], [0]
@@ -459,67 +461,210 @@ def _descend(level, mass: np.ndarray, sofar: np.ndarray) -> tuple[np.ndarray, np
     return mass * (1 - stop), sofar + mass * stop * (b + 0.5) / (a + b + 1)
 
 
-def _whole_pairs(batches, least: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted rows (key, n) in runs that end where the two nearest bytes change."""
-    keys, ns, held = [], [], 0
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin; ``x`` isn't empty."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array as planes of bytes, compressed: neighbours in sorted keys differ in few of them."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, dtype: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).ravel()
+
+
+def _stream(table: pa.Table) -> bytes:
+    """A table as an Arrow stream, compressed."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as stream:
+        stream.write_table(table.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def _added(keys: list, ns: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted arrays, in order, with summed n."""
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = _runs(key)
+    return key[first], np.add.reduceat(np.concatenate(ns)[order], first)
+
+
+def _merged(arrays: Iterator, least: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_added`` of any number of (key, n); little more than the distinct keys is held."""
+    keys, ns, held, most = [], [], 0, least
+    for key, n in arrays:
+        keys.append(key)
+        ns.append(n)
+        held += len(key)
+        if held >= most:
+            key, n = _added(keys, ns)
+            keys, ns, held, most = [key], [n], len(key), max(least, 2 * len(key))
+    return _added(keys, ns)
+
+
+def _slices(key: np.ndarray, n: np.ndarray, least: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys in runs that end where the two nearest bytes change."""
+    start = 0
+    for cut in [*_runs(key >> 40)[1:].tolist(), len(key)]:
+        if cut - start >= least or cut == len(key):
+            yield key[start:cut], n[start:cut]
+            start = cut
+
+
+@dataclass
+class _Places:
+    """The bytes of all texts and their ends, each with the six bytes before it, in the order of these seven bytes."""
+
+    key: np.ndarray  # the distinct ones, the context's bytes first, the nearest one foremost
+    first: np.ndarray  # where the places of each begin
+    doc: np.ndarray  # the text of each place
+    many: np.ndarray  # places of each text
+
+    @classmethod
+    def of(cls, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> _Places:
+        used = np.flatnonzero(np.bincount(text, minlength=256))
+        rank = np.zeros(256, dtype=np.uint8)
+        rank[used] = np.arange(len(used))
+        size, codes, coded, many = len(used), rank[text], _coded(begin, end, len(text)), end + 1 - begin
+        doc, shift = np.repeat(np.arange(len(many), dtype=np.int32), many), max(1, len(many) - 1).bit_length()
+        key, n = np.empty(len(doc), dtype=np.int64), 0
+        for a in range(6, len(text), PIECE):
+            b = min(a + PIECE, len(text))
+            some = codes[a - 1 : b - 1] * np.int64(size)
+            for d in (2, 3, 4, 5, 6, 0):
+                some += codes[a - d : b - d]
+                if d:
+                    some *= size
+            some = some[coded[a:b]]
+            key[n : n + len(some)] = some
+            n += len(some)
+        if size**7 << shift < 1 << 63:
+            # one number for the bytes and the text: a plain sort does
+            key <<= shift
+            key |= doc
+            key.sort()
+            doc = (key & ((1 << shift) - 1)).astype(np.int32)
+            key >>= shift
+        else:
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+        first = _runs(key)
+        left, whole = key[first], np.zeros(len(first), dtype=np.int64)
+        for i in range(7):
+            left, digit = np.divmod(left, size)
+            whole |= used[digit] << (8 * i)
+        return cls(whole, first, doc, many)
+
+
+class _Ids(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
+
+
+def _hashed_words(joined: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct words of all texts; of each word in turn the place there; words of each text."""
+    texts, ids = _split(*joined), _Ids()
+    many = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = np.fromiter(map(ids.__getitem__, chain.from_iterable(texts)), np.int64, int(many.sum()))
+    hashes, to = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)), return_inverse=True)
+    return hashes, to[at], many
+
+
+#: Contexts are dealt out by a hash of the two nearest bytes, words by their own hash; words' parts come after the others.
+PARTS, WORD_PARTS = 256, 64
+
+
+def _context_parts(key: np.ndarray) -> np.ndarray:
+    return ((key >> 40) * 0x9E3779B1 >> 16 & (PARTS - 1)).astype(np.uint16)
+
+
+def _word_parts(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(58)).astype(np.uint16) + np.uint16(PARTS)
+
+
+def _in_parts(key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that brings keys of one part together, and each part with its slice of that order."""
+    order = np.argsort(part, kind="stable")
+    if not len(part):
+        return order, []
+    first = _runs(part[order])
+    return order, list(zip(part[order][first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
+
+
+def _columns(batches, *names: str) -> Iterator[tuple]:
+    """Rows of batches as tuples."""
     for batch in batches:
-        keys.append(batch.column("key").to_numpy())
-        ns.append(batch.column("n").to_numpy())
-        held += len(batch)
-        if held >= least:
-            key, n = np.concatenate(keys), np.concatenate(ns)
-            cut = int(np.searchsorted(key, key[-1] >> 40 << 40))
-            if cut:
-                yield key[:cut], n[:cut]
-            keys, ns, held = [key[cut:]], [n[cut:]], len(key) - cut if cut else 0
-    if sum(map(len, keys)):
-        yield np.concatenate(keys), np.concatenate(ns)
-
-
-def _keys(column) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Of the bytes of all texts and their ends: the six bytes before and the byte itself as one number. How many bytes
-    each text has, its end with them, and the joined texts."""
-    text, begin, end = _joined(column, 6)
-    key = text.astype(np.int64)
-    for d in range(1, 7):
-        key[d:] |= text[:-d].astype(np.int64) << (8 * (7 - d))
-    return key[_coded(begin, end, len(text))], end + 1 - begin, (text, begin, end)
-
-
-def whole(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",), block: int = 3_000_000) -> DataFrame:
+        yield from zip(*(batch.column(k).to_pylist() for k in names), strict=True)
+
+
+def whole(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",), block: int = 8_000_000) -> DataFrame:
     """As ``score`` by a model of the rows for which ``training`` holds, with a node for every context of six bytes that
     occurs in any text, and so without a bound: none is left out or shares an estimate.
 
-    Counts, nodes and probabilities are tables, dealt out by the two bytes nearest; only the contexts of two bytes meet on
-    the driver. Probabilities are sent to the texts in blocks of about ``block`` at most, one at a time.
+    Texts go through in chunks of about ``block`` bytes. A chunk sends its distinct contexts and words, sorted and packed,
+    to the parts they belong to; a part adds up all chunks, and sends each the probabilities and counts it asked for, in
+    the order in which it asked. So every text is read twice and every answer sent once, whatever the number of contexts.
+    Only contexts of two bytes meet on the driver.
     """
     spark = docs.sparkSession
-    C.batches(spark)
+    C.batches(spark, 500)
+    keep = list(keep)
     names = [f"`{k}`" for k in keep]
-    rows, rows_path = C.written(C.dealt(docs.select(*names, docs["text"].cast("string").alias("text"), training.alias("__train"))).select("*", F.monotonically_increasing_id().alias("__row")), "texts")
+    kept = C.ddl(docs.select(*names))
 
     def count(batches):
-        for held in C.grouped(batches, lambda b: b.column("text").nbytes, CHUNK // 3):
+        task = TaskContext.get().partitionId() << 32
+        for i, held in enumerate(C.grouped((b for b in batches if len(b)), lambda b: b.column("text").nbytes, block)):
             table = pa.Table.from_batches(held)
-            for train in (True, False):
-                key, many, joined = _keys(table.filter(pa.compute.equal(table.column("__train"), train)).column("text").combine_chunks())
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), dtype=np.int32)), pa.array(key), pa.array(n * train)], names=["kind", "key", "n"])
-                if train:
-                    tally = Counter(w for words in _split(*joined) for w in words)
-                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tally), np.uint64, len(tally))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tally) + 1, dtype=np.int32)), pa.array(np.r_[hashes, END].view(np.int64)), pa.array(np.r_[np.fromiter(tally.values(), np.int64, len(tally)), len(many)])], names=["kind", "key", "n"])
-
-    table, table_path = C.written(rows.select("text", "__train").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    pairs = table.where("kind = 0").select("key", "n", F.shiftright("key", 40).alias("pair")).repartition("pair").sortWithinPartitions("key").select("key", "n")
+            train = np.asarray(table.column("__train")).astype(np.int64)
+            joined = _joined(table.column("text").combine_chunks(), 6)
+            places = _Places.of(*joined)
+            words, at, many = _hashed_words(joined)
+            asked = [(places.key, np.add.reduceat(train[places.doc], places.first), _context_parts(places.key)), (words, np.bincount(at, np.repeat(train, many), len(words)).astype(np.int64), _word_parts(words))]
+            del places, at, joined
+            rows = [(-1, _stream(table.select([*keep, "text"])), _packed(train.sum(keepdims=True)))]
+            for key, n, part in asked:
+                order, parts = _in_parts(key, part)
+                key, n = key[order], n[order]
+                rows += [(p, _packed(key[a:b]), _packed(n[a:b])) for p, a, b in parts]
+            part, data, more = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), task | i)), pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names=["chunk", "part", "data", "more"])
+
+    rows = C.dealt(docs.select(*names, docs["text"].cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("__train")))
+    table, table_path = C.written(rows.mapInArrow(count, "chunk long, part int, data binary, more binary"), "chunks", **{"parquet.block.size": 32 << 20})
+    ends = [int(_unpacked(r.more, "<i8")[0]) for r in table.where("part = -1").select("more").collect()]
+    chunks, end = len(ends), sum(ends)
+    asked, cores = table.where("part >= 0"), spark.sparkContext.defaultParallelism
 
     def up(batches):
-        for key, n in _whole_pairs(batches):
-            cell, a, b, ln = _cells(key, n, 6, 2)[0][0]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(a), pa.array(b), pa.array(ln)], names=["cell", "a", "b", "ln"])
-
-    got = pairs.mapInArrow(up, "cell long, a double, b double, ln double").toArrow()
-    levels, above = [tuple(got.column(k).to_numpy() for k in ("cell", "a", "b", "ln"))], []
+        for part, rows in groupby(_columns(batches, "part", "data", "more"), lambda r: r[0]):
+            kind = "<i8" if part < PARTS else "<u8"
+            key, n = _merged((_unpacked(data, kind), _unpacked(more, "<i8")) for _, data, more in rows)
+            found = [("sum", _packed(key), _packed(n), None, None)]
+            if part < PARTS:
+                found += [("top", *map(_packed, _cells(*run, 6, 2)[0][0])) for run in _slices(key, n)]
+            else:
+                found.append(("words", _packed(np.array([n.sum(), (n > 0).sum()], dtype=np.int64)), None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), *(pa.array(x, t) for x, t in zip(zip(*found, strict=True), [pa.string()] + 4 * [pa.binary()], strict=True))], names=["part", "what", "w", "x", "y", "z"])
+
+    def by_part(df, *order):
+        return df.repartition(max(4 * cores, min(PARTS + WORD_PARTS, chunks // 2)), "part").sortWithinPartitions("part", *order)
+
+    nodes, nodes_path = C.written(by_part(asked.select("part", "data", "more")).mapInArrow(up, "part int, what string, w binary, x binary, y binary, z binary"), "nodes")
+    total, distinct = end, int(end > 0)
+    for r in nodes.where("what = 'words'").select("w").collect():
+        n, some = _unpacked(r.w, "<i8").tolist()
+        total, distinct = total + n, distinct + some
+    got = [tuple(_unpacked(v, k) for v, k in zip(r, ("<i8", "<f8", "<f8", "<f8"), strict=True)) for r in nodes.where("what = 'top'").select("w", "x", "y", "z").collect()]
+    levels, above = [tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=np.int64), *np.zeros((3, 0)))], []
     for _ in range(2):
         cell, a, b, ln = levels[0]
         cell, to = np.unique((cell >> 16 << 8) | (cell & 255), return_inverse=True)
@@ -532,56 +677,57 @@ def whole(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)
     order = np.argsort(levels[2][0])
     top = spark.sparkContext.broadcast(tuple(x[order] for x in (levels[2][0], mass, sofar)))
 
-    def down(batches):
+    def probabilities(key, n):
+        """log10 of the next byte's probability at each key."""
         cells, left, given = top.value
-        for key, n in _whole_pairs(batches):
-            levels, to, at = _cells(key, n, 6, 2)
-            here = np.searchsorted(cells, levels[0][0])
-            mass, sofar = left[here], given[here]
-            for level, places in zip(levels[:-1], to, strict=True):
-                mass, sofar = (x[places] for x in _descend(level, mass, sofar))
-            _, a, b, _ = levels[-1]
-            one = (sofar + mass * (b + 0.5) / (a + b + 1))[at]
-            bits = np.stack([(key >> (7 - i)) & 1 for i in range(8)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1))], names=["key", "log"])
-
-    logs, logs_path = C.written(pairs.mapInArrow(down, "key long, log double"), "logs")
+        levels, to, at = _cells(key, n, 6, 2)
+        here = np.searchsorted(cells, levels[0][0])
+        mass, sofar = left[here], given[here]
+        for level, places in zip(levels[:-1], to, strict=True):
+            mass, sofar = (x[places] for x in _descend(level, mass, sofar))
+        _, a, b, _ = levels[-1]
+        one = (sofar + mass * (b + 0.5) / (a + b + 1))[at]
+        bits = np.stack([(key >> (7 - i)) & 1 for i in range(8)], axis=1)
+        return np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=1).astype(np.float32)
+
+    def down(batches):
+        for part, rows in groupby(_columns(batches, "part", "chunk", "data", "more"), lambda r: r[0]):
+            _, _, data, more = next(rows)  # the sums come first
+            key, value = _unpacked(data, "<i8" if part < PARTS else "<u8"), _unpacked(more, "<i8")
+            if part < PARTS:
+                value = np.concatenate([probabilities(*run) for run in _slices(key, value)])
+            for _, chunk, data, _ in rows:
+                answer = value[np.searchsorted(key, _unpacked(data, str(key.dtype)))]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([_packed(answer)], pa.binary())], names=["chunk", "part", "data"])
+
+    sums = nodes.where("what = 'sum'").select("part", F.lit(None).cast("long").alias("chunk"), F.col("w").alias("data"), F.col("x").alias("more"))
+    answers = by_part(sums.union(asked.select("part", "chunk", "data", F.lit(None).cast("binary"))), F.col("chunk").asc_nulls_first()).mapInArrow(down, "chunk long, part int, data binary")
+    none, of_end = math.log10(total + distinct + 1), math.log10(end + 1)
+
+    def add(batches):
+        for _, held in groupby(_columns(batches, "chunk", "part", "data"), lambda r: r[0]):
+            (_, _, texts), *given = held  # the texts come first, then the answers by part
+            table = pa.ipc.open_stream(texts).read_all()
+            joined = _joined(table.column("text").combine_chunks(), 6)
+            words, at, many = _hashed_words(joined)
+            n = np.zeros(len(words), dtype=np.int64)
+            n[_in_parts(words, _word_parts(words))[0]] = np.concatenate([n[:0], *(_unpacked(d, "<i8") for _, p, d in given if p >= PARTS)])
+            doc, size = np.repeat(np.arange(len(many)), many), len(many)
+            known = np.bincount(doc, (n > 0)[at], size).astype(np.int64) + (end > 0)
+            base = np.bincount(doc, np.log10(n + 1.0)[at], size) + of_end - (many + 1) * none
+            del at, doc
+            places = _Places.of(*joined)
+            log = np.empty(len(places.key), dtype=np.float32)
+            log[_in_parts(places.key, _context_parts(places.key))[0]] = np.concatenate([_unpacked(d, "<f4") for _, p, d in given if p < PARTS])
+            score = np.bincount(places.doc, np.repeat(log, np.diff(places.first, append=len(places.doc))), size)
+            bits = -score / math.log10(2) / np.maximum(1, places.many - 1)
+            yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in keep), pa.array(many + 1), pa.array(known), pa.array(np.full(size, total)), pa.array(base), pa.array(score), pa.array(bits)], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    both = table.where("part = -1").select("chunk", "part", "data").union(answers)
+    scored, _ = C.written(both.repartition(max(4 * cores, chunks // 2), "chunk").sortWithinPartitions("chunk", "part").mapInArrow(add, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"), "scored")
     top.destroy()
-    rows_of = logs.count()
-    blocks = rows_of and 1 << (-(-rows_of // block) - 1).bit_length()
-
-    def part(key):
-        return (key ^ (key >> 23) ^ (key >> 41)) & (blocks - 1)
-
-    sums, paths = None, []
-    for i in range(blocks):
-        # as part()
-        mine = logs.where(F.expr(f"(key ^ shiftright(key, 23) ^ shiftright(key, 41)) & {blocks - 1}L = {i}")).toArrow()
-        order = np.argsort(mine.column("key").to_numpy())
-        shipped = spark.sparkContext.broadcast((mine.column("key").to_numpy()[order], mine.column("log").to_numpy()[order].astype(np.float32)))
-        del mine
-
-        def add(batches, shipped=shipped, i=i):
-            keys, log = shipped.value
-            for batch in batches:
-                key, many, _ = _keys(batch.column("text"))
-                doc, asked = np.repeat(np.arange(len(many)), many), part(key) == i
-                distinct, back = np.unique(key[asked], return_inverse=True)
-                total = np.bincount(doc[asked], log[np.searchsorted(keys, distinct)][back], len(many)) if len(distinct) else np.zeros(len(many))
-                yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(total), pa.array(many - 1)], names=["__row", "__log", "__bytes"])
-
-        some, path = C.written(rows.select("__row", "text").mapInArrow(add, "__row long, __log double, __bytes long"), "sums")
-        shipped.destroy()
-        paths.append(path)
-        sums = some if sums is None else sums.union(some)
-    counts = table.where("kind = 1").select(F.col("key").alias("word"), "n")
-    total, distinct, common = _common_words(counts)
-    base = score(rows.select(*names, "text", "__row"), Model(build_tree([np.zeros((1, 256)), np.zeros((0, 256)), np.zeros((0, 256))], [np.full((1, 256), -1, dtype=np.int32), np.zeros((0, 256), dtype=np.int32)]), total, distinct, common, counts), (*keep, "__row"), by_tree=False)
-    C.remove(spark, logs_path)
-    if sums is None:
-        return base.drop("__row")
-    sums = sums.groupBy("__row").agg(F.sum("__log").alias("__log"), F.max("__bytes").alias("__bytes"))
-    return base.drop("score", "bits_per_byte").join(sums, "__row").drop("__row").withColumn("score", F.col("__log")).withColumn("bits_per_byte", -F.col("__log") / math.log10(2) / F.greatest(F.lit(1), "__bytes")).drop("__log", "__bytes")
+    C.remove(spark, table_path, nodes_path)
+    return scored
 
 
 def op7(docs: DataFrame) -> DataFrame:

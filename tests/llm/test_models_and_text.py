@@ -226,6 +226,47 @@ def test_whole_model_is_weighting_over_all_contexts(spark):
         assert got[i] == pytest.approx(sum(log10(x[j - 6 : j], x[j]) for j in range(6, len(x))), rel=1e-5)
 
 
+def test_passes_do_not_grow_with_contexts(spark, monkeypatch):
+    texts = [bytes(np.random.default_rng(i).integers(97, 123, 300, dtype=np.uint8)).decode() for i in range(6)]
+    df = spark.createDataFrame([(i, f"{x[:150]} {x[150:]}", i != 4) for i, x in enumerate(texts)], "doc_id long, text string, train boolean").coalesce(2)
+    tables: list[str] = []
+    written = lm.C.written
+    monkeypatch.setattr(lm.C, "written", lambda frame, what, **options: tables.append(what) or written(frame, what, **options))
+    got = []
+    for block in (1 << 30, 200):
+        tables.clear()
+        rows = lm.whole(df, F.col("train"), block=block).orderBy("doc_id").collect()
+        got.append((list(tables), [(r.n_tokens, r.n_known, r.train_tokens) for r in rows], [x for r in rows for x in (r.base_score, r.score)]))
+    assert got[0][:2] == got[1][:2] and got[0][2] == pytest.approx(got[1][2], rel=1e-9)
+    assert got[0][1][4] == (3, 1, 15)  # of the text that isn't learned from only the end is known
+
+
+@pytest.mark.parametrize("docs", [3, 400])
+def test_places_of_few_and_of_many_texts(docs):
+    # 256 different bytes leave room for 128 texts in a sort of single numbers
+    rng = np.random.default_rng(docs)
+    texts = [rng.integers(0, 256, n, dtype=np.uint8) for n in (600, *rng.integers(0, 9, docs - 1))]
+    joined = [np.r_[np.full(6, lm.EDGE), x, [lm.EDGE]].astype(np.uint8) for x in texts]
+    begin = np.cumsum([0, *map(len, joined[:-1])]) + 6
+    got = lm._Places.of(np.concatenate(joined), begin, begin + [len(x) for x in texts])
+    want = Counter((int.from_bytes(bytes([*x[i - 6 : i][::-1], x[i]]), "big"), d) for d, x in enumerate(joined) for i in range(6, len(x)))
+    of = np.repeat(got.key, np.diff(got.first, append=len(got.doc)))
+    assert Counter(zip(of.tolist(), got.doc.tolist(), strict=True)) == want
+    assert (np.diff(got.key) > 0).all() and got.many.tolist() == [len(x) + 1 for x in texts]
+
+
+def test_merged_counts_and_packed_arrays():
+    rng = np.random.default_rng(3)
+    arrays = [np.unique(rng.integers(0, 500, 200), return_counts=True) for _ in range(20)]
+    key, n = lm._merged(iter(arrays), least=300)
+    want: Counter = Counter()
+    for k, m in arrays:
+        want.update(dict(zip(k.tolist(), m.tolist(), strict=True)))
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == want and (np.diff(key) > 0).all()
+    for x in (key, n.astype(np.float32), np.array([2**64 - 1], dtype=np.uint64), np.zeros(0)):
+        assert (lm._unpacked(lm._packed(x), x.dtype.str) == x).all()
+
+
 def test_contexts_beyond_a_bound_count(spark):
     letters = [np.random.default_rng(i % 5).integers(0, 26, 4000) for i in range(15)]
     df = spark.createDataFrame([(i + 3, "".join(chr(97 + int(c)) for c in x)) for i, x in enumerate(letters)], "doc_id long, text string")
